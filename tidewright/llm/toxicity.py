@@ -1,6 +1,6 @@
 """Toxicity as severity grades, by cumulative-link ordinal regression on sparse text features.
 
-Features are character n-grams of words (with a mark at the word's start), hashed. Those most associated with
+Features are whole words, their beginnings and character 5-grams, hashed. Those most associated with
 the labels (chi-square over the labelled sample) are kept. P(grade >= k) = sigmoid(w . x - t_k): all thresholds
 share the weights, and the expected severity is the sum of these probabilities over k.
 
@@ -23,16 +23,17 @@ from .common import bound_batches, cut, rows_of, utf8
 from .quality import fold
 
 #: Bounds of the fit: labelled rows of each class, features kept; hashed feature space.
-MAX_EACH, MAX_FEATURES, SPACE = 3000, 512, 1 << 20
+MAX_EACH, MAX_FEATURES, SPACE = 4000, 1024, 1 << 20
 GRADES = 3
 PUNCTUATION = b".,;:!?*#$%&()[]{}\"'|<>-_/\\`~^+=@"
 CACHE = 1 << 18
 
 
 def features_of(word: bytes) -> set[int]:
-    """Hashed 4- and 5-grams of a word (lower case, no outer punctuation, '^' before it, '$' after it)."""
+    """Hashed features of a word in lower case without outer punctuation: itself, its beginnings, its 5-grams."""
     w = b"^" + word.strip(PUNCTUATION) + b"$"
-    return {crc32(w[k : k + n]) % SPACE for n in (4, 5) for k in range(max(1, len(w) - n + 1))}
+    grams = {w, *(w[:k] for k in range(4, min(len(w), 10))), *(w[k : k + 5] for k in range(1, len(w) - 4))}
+    return {crc32(g) % SPACE for g in grams}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -73,7 +74,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(dot[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by full-batch Adam on the cumulative-link likelihood."""
     n = max(1, len(y))
     w, first, steps = np.zeros(x.shape[1]), 2.0, np.zeros(max(0, grades - 1))
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     keep = F.array(*[F.lit(s) for s in slots]) if slots else F.array().cast("array<int>")
     pairs = F.filter(F.arrays_zip("slots", "times"), lambda p: F.array_contains(keep, p["slots"]))
     got = rows.select("y", pairs.alias("pairs")).collect()
-    x = np.zeros((len(got), len(slots)))
+    x = np.zeros((len(got), len(slots)), dtype=np.float32)
     for k, r in enumerate(got):
         for slot, times in r["pairs"]:
             x[k, slots[slot]] = times
