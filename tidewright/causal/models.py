@@ -51,25 +51,44 @@ class Logistic:
         return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
-def fit_logistic(df: DataFrame, label: str, features: list[tuple[str, Column]], rate: float = 0.1, rounds: int = 200, tolerance: float = 1e-6) -> Logistic:
+#: Feature rows that are fitted on the driver, at most; more are fitted by an aggregate a round.
+DRIVER_ROWS = 100_000
+
+
+def fit_logistic(df: DataFrame, label: str, features: list[tuple[str, Column]], rate: float = 0.1, rounds: int = 200, tolerance: float = 1e-6, driver_rows: int = DRIVER_ROWS) -> Logistic:
     """Full-batch gradient descent from zero weights, the bias last; stops when the cost moves less than ``tolerance``.
 
-    Each round is one aggregate over the cached feature rows: a gradient of as many numbers as features.
+    Up to ``driver_rows`` rows of features come to the driver. Beyond that each round is one aggregate over the
+    checkpointed rows, which returns a gradient of as many numbers as features. Both take the same steps.
     """
     names, columns = [n for n, _ in features], [c for _, c in features]
     rows = cut(df.select(F.col(label).cast("double").alias("y"), F.array(*columns, F.lit(1.0)).alias("x")))
-    size, w, before, cost, k = len(columns) + 1, np.zeros(len(columns) + 1), None, float("nan"), 0
+    size = len(columns) + 1
+    if rows.limit(driver_rows + 1).count() <= driver_rows:
+        got = rows.toPandas()
+        y, x = got["y"].to_numpy(dtype=float), np.array(got["x"].tolist(), dtype=float).reshape(-1, size)
+
+        def step(w: np.ndarray) -> tuple[float | None, np.ndarray]:
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+            safe = np.clip(p, 1e-15, 1 - 1e-15)
+            return float(-(y * np.log(safe) + (1 - y) * np.log(1 - safe)).mean()) if len(y) else None, x.T @ (p - y) / max(1, len(y))
+    else:
+
+        def step(w: np.ndarray) -> tuple[float | None, np.ndarray]:
+            z = sum((F.lit(float(v)) * F.col("x")[i] for i, v in enumerate(w)), F.lit(0.0))
+            p = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
+            safe = F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15))
+            loss = -(F.col("y") * F.log(safe) + (1 - F.col("y")) * F.log(1 - safe))
+            scored = rows.select("x", (p - F.col("y")).alias("d"), loss.alias("loss"))
+            row = scored.agg(F.avg("loss"), *[F.avg(F.col("d") * F.col("x")[i]) for i in range(size)]).first()
+            return row[0], np.array([v or 0.0 for v in row[1:]], dtype=float)
+
+    w, before, cost, k = np.zeros(size), None, float("nan"), 0
     for k in range(1, rounds + 1):
-        z = sum((F.lit(float(v)) * F.col("x")[i] for i, v in enumerate(w)), F.lit(0.0))
-        p = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
-        safe = F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15))
-        loss = -(F.col("y") * F.log(safe) + (1 - F.col("y")) * F.log(1 - safe))
-        scored = rows.select("x", (p - F.col("y")).alias("d"), loss.alias("loss"))
-        row = scored.agg(F.avg("loss"), *[F.avg(F.col("d") * F.col("x")[i]) for i in range(size)]).first()
-        if row[0] is None:
+        now, gradient = step(w)
+        if now is None:
             break
-        cost = row[0]
-        w = w - rate * np.array(row[1:], dtype=float)
+        cost, w = now, w - rate * gradient
         if before is not None and abs(before - cost) < tolerance:
             break
         before = cost
