@@ -11,7 +11,7 @@ carry a feature that toxic rows favour.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -47,11 +47,12 @@ class OrdinalModel:
     slots: dict[int, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    cache: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def counts(self, texts, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse log1p counts of the kept features: text number, feature, value."""
         rows, cols, values = [], [], []
-        slots = self.slots
+        slots, cache = self.slots, self.cache
         for k, text in enumerate(texts):
             found: Counter = Counter()
             for word in words_of(text):
@@ -160,17 +161,13 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def score(texts):
         import pandas as pd
 
-        cache = _CACHES.setdefault(id(model), {})
         out = []
         for start in range(0, len(texts), 256):
             part = texts.iloc[start : start + 256]
-            p = model.at_least(len(part), model.counts(part, cache))
+            p = model.at_least(len(part), model.counts(part))
             edge = np.concatenate([np.ones((len(part), 1)), p, np.zeros((len(part), 1))], axis=1)
             out.append(pd.DataFrame({"expected_severity": p.sum(axis=1), "p_toxic": p[:, 0] if p.shape[1] else 0.0, "grade": (edge[:, :-1] - edge[:, 1:]).argmax(axis=1).astype("int32")}))
         return pd.concat(out) if out else pd.DataFrame({"expected_severity": [], "p_toxic": [], "grade": []})
 
     scored = docs.select(*[F.col(f"`{c}`") for c in kept], score(utf8()).alias("__s"))
     return scored.select(*[F.col(f"`{c}`") for c in kept], "__s.expected_severity", "__s.p_toxic", "__s.grade", (F.col("__s.p_toxic") >= 0.5).alias("toxic"))
-
-
-_CACHES: dict[int, dict] = {}
