@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import RequestError
 from ..functions.aggregates import aggregate
 from ..functions.calendar import bucket_start, floor_to, from_micros, micros
+from ..functions.windows import running
 from ..model import Aggregate, Downsample, Kind, ReportInterval, Upsample
 
 
@@ -141,10 +142,16 @@ def asof(left: DataFrame, right: DataFrame, time: str, keys: Sequence[str], valu
 
 
 def estimate_rate(df: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
-    """One row ``rate_ms``: median of the positive gaps between a key's successive times."""
+    """One row ``rate_ms``: exact median of the positive gaps between a key's successive times.
+
+    Gaps are counted by value and ranked with distributed running sums, so no task holds them all.
+    """
     w = Window.partitionBy(*keys).orderBy(time)
-    gaps = df.select(((micros(time) - F.lag(micros(time)).over(w)) / 1000).alias("gap")).where("gap > 0")
-    return gaps.agg(F.round(F.percentile("gap", F.lit(0.5))).cast("long").alias("rate_ms"))
+    gaps = df.select((micros(time) - F.lag(micros(time)).over(w)).alias("gap")).where("gap > 0").groupBy("gap").agg(F.count("*").alias("n"))
+    ran = running(gaps, ["gap"], {"__cum": F.col("n")})
+    low = F.min(F.when(F.col("__cum") >= F.floor((F.col("__cum__all") + 1) / 2), F.col("gap")))
+    high = F.min(F.when(F.col("__cum") >= F.floor(F.col("__cum__all") / 2) + 1, F.col("gap")))
+    return ran.agg(F.round((low + high) / 2000).cast("long").alias("rate_ms"))
 
 
 def report(df: DataFrame, interval: ReportInterval, subject: str, time: str, values: dict[str, Aggregate | str]) -> DataFrame:
