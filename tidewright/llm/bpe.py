@@ -21,7 +21,7 @@ import hashlib
 import json
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,47 +42,44 @@ def byte_alphabet() -> list[str]:
 
 
 class Merges:
-    """A merge list over symbols, with ``end`` marking the last symbol of a pre-token."""
+    """A merge list over the ids of symbols, with ``end`` marking the last symbol of a pre-token."""
 
     def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], end: str = ""):
-        self.rank = {(a, b): k for k, (a, b) in enumerate(merges)}
         self.vocab, self.end = vocab, end
+        known = [(k, a, b) for k, (a, b) in enumerate(merges) if a in vocab and b in vocab and a + b in vocab]
+        self.rank = {(vocab[a], vocab[b]): k for k, a, b in known}
+        self.made = {k: vocab[a + b] for k, a, b in known}
+        self.width = {i: len(t) - (len(end) if end and t.endswith(end) else 0) for t, i in vocab.items()}
         self.lookahead = sufficient_lookahead(merges, end)
 
-    def tokens(self, symbols: list[str]) -> list[str]:
-        """Merge by lowest rank, leftmost first."""
-        rank = self.rank
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: rank.get(p, 1 << 60))
-            if best not in rank:
+    def tokens(self, ids: list[int]) -> list[int]:
+        """Merge in place by lowest rank, leftmost first."""
+        never = 1 << 60
+        get, made = self.rank.get, self.made
+        ranks = [get(pair, never) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            out, k, last = [], 0, len(symbols) - 1
-            a, b = best
-            joined = a + b
-            while k <= last:
-                if k < last and symbols[k] == a and symbols[k + 1] == b:
-                    out.append(joined)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
-        return symbols
-
-    def width(self, token: str) -> int:
-        """Symbols that a token was made of."""
-        return len(token) - (len(self.end) if self.end and token.endswith(self.end) else 0)
-
-    def stream(self, symbols: Iterable[str], window: int | None = None) -> Iterator[str]:
-        """Tokens of one pre-token, each as soon as it is stable. ``symbols`` is read once, left to right."""
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+        return ids
+
+    def stream(self, ids: Iterable[int], window: int | None = None) -> Iterator[int]:
+        """Tokens of one pre-token, each as soon as it is stable. Symbols ``ids`` are read once, left to right."""
         window = max(window or 0, 4 * self.lookahead + 64)
-        held: list[str] = []
-        for s in symbols:
+        held: list[int] = []
+        for s in ids:
             held.append(s)
             if len(held) >= window:
                 stable, done = len(held) - self.lookahead, 0
                 for token in self.tokens(list(held)):
-                    if done + (w := self.width(token)) > stable:
+                    if done + (w := self.width[token]) > stable:
                         break
                     yield token
                     done += w
@@ -116,10 +113,30 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
     return longest
 
 
-#: Entries of the pre-token cache; it is emptied when full.
-CACHE = 1 << 18
-#: Longer pre-tokens are streamed and not cached.
-LONG = 64
+#: Entries of a cache's generation, of pieces and of words. Longer strings are streamed and not cached.
+PIECES, WORDS, LONG = 1 << 19, 1 << 18, 64
+
+
+class Cache(dict):
+    """Packed ids of short strings; what is missing is worked out by ``find``.
+
+    Two generations: when this one is full it becomes the old one, from which entries come back on demand.
+    """
+
+    def __init__(self, find: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.find, self.size, self.old = find, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= LONG:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class WordBpe:
@@ -143,52 +160,42 @@ class WordBpe:
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.other_split = pre_tokenizers.Split(Regex(steps[0]["pattern"]["Regex"]), "removed", invert=True)
         self.cuts = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.alphabet = byte_alphabet()
-        self.cache: dict[str, bytes] = {}
-
-    def _symbols(self, word: str) -> Iterator[str]:
-        held = ""
-        for ch in word:
-            for byte in ch.encode("utf-8"):
-                if held:
-                    yield held
-                held = self.alphabet[byte]
-        if held:
-            yield held + self.merges.end
+        # White space is in no pre-token, so what lies between is split and cached by itself.
+        if self.split.search(" \t\n\r\x0b\x0c\x85\xa0"):
+            raise ValueError("pre-tokens may hold white space")
+        alphabet = byte_alphabet()
+        self.inner = [self.vocab.get(c) for c in alphabet]
+        self.final = [self.vocab.get(c + self.merges.end) for c in alphabet]
+        self.by_word, self.by_piece = Cache(self.word, WORDS), Cache(self.piece, PIECES)
 
     def word(self, word: str) -> bytes:
-        """Packed ids (little-endian, 32 bits) of one pre-token."""
-        tokens = self.merges.tokens(list(self._symbols(word))) if len(word) <= LONG else self.merges.stream(self._symbols(word))
-        ids = array("I", [self.vocab[t] for t in tokens if t in self.vocab])
-        return ids.tobytes()
+        """Packed ids (little-endian, 32 bits) of one pre-token: its bytes, the last with the end mark, merged.
+
+        Bytes that the vocabulary lacks are left out.
+        """
+        raw, inner = word.encode("utf-8"), self.inner
+        last = self.final[raw[-1]]
+        ids = (i for i in (*map(inner.__getitem__, raw[:-1]), last) if i is not None)
+        return array("I", self.merges.tokens(list(ids)) if len(word) <= LONG else self.merges.stream(ids)).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Packed ids of a lower-case Latin-1 text without white space."""
+        return b"".join(map(self.by_word.__getitem__, self.split.findall(piece)))
 
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of the normalised text."""
+    def _plain(self, text: str) -> Iterator[bytes]:
         try:
             text.encode("latin-1")
+            latin = True
         except UnicodeEncodeError:
-            return [w for w, _ in self.other_split.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        return self.split.findall(text.lower())  # Latin-1 text is composed already
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        cache, word_ids = self.cache, self.word
-        words = self.words(text)
-        for start in range(0, len(words), 65536):
-            part = words[start : start + 65536]
-            try:
-                yield b"".join(map(cache.__getitem__, part))
-            except KeyError:
-                out = []
-                for w in part:
-                    ids = cache.get(w)
-                    if ids is None:
-                        ids = word_ids(w)
-                        if len(w) <= LONG:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            cache[w] = ids
-                    out.append(ids)
-                yield b"".join(out)
+            latin = False
+        if not latin:
+            parts, cache = [w for w, _ in self.other_split.pre_tokenize_str(self.normalizer.normalize_str(text))], self.by_word
+        elif any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+            parts, cache = self.split.findall(text.lower()), self.by_word
+        else:  # Latin-1 text is composed already
+            parts, cache = text.lower().split(), self.by_piece
+        for start in range(0, len(parts), 65536):
+            yield b"".join(map(cache.__getitem__, parts[start : start + 65536]))
 
     def encode_stream(self, text: str) -> Iterator[bytes]:
         """Packed ids of the text, piece by piece. Special tokens in the raw text are found before all else."""
