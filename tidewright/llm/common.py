@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -48,3 +49,15 @@ def rows_of(batch: pa.RecordBatch, column: int, step: int = 256) -> Iterator[lis
     values = batch.column(column)
     for start in range(0, len(values), step):
         yield values.slice(start, step).to_pylist()
+
+
+def bounded_sample(rows: DataFrame, limit: int, *ties: str) -> DataFrame:
+    """At most ``limit`` rows, those of the smallest hash of doc_id, for fitting a model.
+
+    The hash is cut off a little above where the limit should fall, so that no task sorts or sends many more
+    rows than its share of the sample.
+    """
+    h, n = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), rows.count()
+    if n > limit:
+        rows = rows.where(h < math.ceil((1 << 31) * min(1.0, (limit + 6 * math.sqrt(limit) + 10) / n)))
+    return rows.orderBy(h, "doc_id", *ties).limit(limit)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import cut
+from .common import bounded_sample, cut
 from .doc_stats import BASE, FEATURES, document_statistics
 
 #: Labelled rows that a model is fitted on, at most (those of the smallest id hash).
@@ -24,8 +24,8 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def fit_on(stats: DataFrame, labels: DataFrame, label: str = "quality", monotone: dict[int, int] | None = None, limit: int = MAX_LABELLED) -> gbdt.Forest:
     """Fit on labelled rows outside fold 1, ``limit`` of them at most; null labels and ids don't count."""
-    known = labels.where(F.col(label).isNotNull() & (fold() != 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
-    rows = stats.select("doc_id", "features").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "y").limit(limit).select("features", "y")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
+    rows = stats.select("doc_id", "features").join(cut(bounded_sample(known, limit, "y")), "doc_id").orderBy("doc_id", "y").select("features", "y")
     got = rows.collect()
     x = np.array([r[0] for r in got], dtype=float).reshape(-1, len(FEATURES))
     return gbdt.fit(x, np.array([r[1] for r in got], dtype=float), monotone)
