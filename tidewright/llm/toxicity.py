@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, rows_of, utf8
+from .common import bound_batches, bounded_sample, cut, rows_of, utf8
 from .quality import fold
 
 #: Bounds of the fit: labelled rows of each class, features kept; hashed feature space.
@@ -107,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     """Fit on whole texts of labelled rows outside fold 1: ``max_each`` of each class, by smallest id hash."""
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (fold() != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("y") == c).orderBy(*order).limit(max_each) for c in (0, 1)]
+    chosen = [bounded_sample(known.where(F.col("y") == c), max_each) for c in (0, 1)]
     chosen = cut(chosen[0].unionByName(chosen[1]).distinct())  # 2 * max_each rows at most: safe to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
 
