@@ -116,5 +116,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first_id")
     names = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     linked = linked.join(names, "root").select("fp", "root", "linked_id")
+    # Behind a checkpoint both sides of the last join are plain exchanges, which a frequent fingerprint can't fill: Spark splits them.
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id", "root", *carry)
+    return prints.join(cut(named), "fp", "left").select("doc_id", "fp", "component_id", "root", *carry)
