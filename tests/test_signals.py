@@ -199,3 +199,19 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.sql("select * from live").collect()))
     assert got == sorted(map(tuple, tumbling_stream(df, "t", "v", ["s"], 600_000, 60_000, "sum").collect())) and len(got) == 3
+
+
+def test_hints_expand_and_description(spark, tmp_path):
+    from tidewright.functions.hints import hints_of, with_hints
+
+    u = sump(spark, [0, 1], [1, 2], 60)
+    df = with_hints(u.subset(SubsetRequest(("sump",), interval_ms=60_000)).df, u.schema, {"sump": {"axis": "right"}})
+    assert hints_of(df)["sump"]["axis"] == "right" and hints_of(df)["observation_time"]["index"]
+    assert u.describe() == {"sump": {"sources": ["pump"], "components": [], "crushed": []}}
+    grid = spark.createDataFrame([("a", 1), ("a", 2)], "s string, t int")
+    data = spark.createDataFrame([("a", 1, "x", 5.0), ("a", 2, "y", 6.0)], "s string, t int, c string, v double")
+    assert sorted((r.t, r.c, r.v) for r in R.expand(grid, data, ["s", "t"], ["c"]).collect() if r.v) == [(1, "x", 5.0), (2, "y", 6.0)]
+    assert R.expand(grid, data, ["s", "t"], ["c"]).count() == 4
+    schema = Schema("q", "s", "t", (), (Quality("c"),)).validated()
+    Universe.build(schema, [BoundSource.identity("q", data, schema)], now=NOW).write_qualities(str(tmp_path / "q"))
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 1

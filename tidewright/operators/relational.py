@@ -19,6 +19,13 @@ def crush(df: DataFrame, keys: Sequence[str], values: dict[str, Aggregate | str]
     return df.groupBy(*keys).agg(*[aggregate(v, how, level, level).alias(v) for v, how in values.items()])
 
 
+def expand(grid: DataFrame, df: DataFrame, keys: Sequence[str], components: Sequence[str]) -> DataFrame:
+    """``df`` on every grid cell, one series for each combination of components that a subject has (no crush)."""
+    subject = [k for k in keys if k in df.columns][:1]
+    series = df.select(*subject, *components).distinct()
+    return grid.join(series, subject).join(df, [*keys, *components], "left")
+
+
 def stack(frames: Sequence[DataFrame], keys: Sequence[str], value: str, components: Sequence[str], how: Aggregate | str) -> DataFrame:
     """Union of fragments. Components that some fragment lacks are crushed in the others first."""
     shared = [c for c in components if all(c in f.columns for f in frames)]

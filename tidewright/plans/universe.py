@@ -254,6 +254,19 @@ class Universe:
         out = self._derived(self._with_qualities(out, req), req)
         return Subset(out.select(s.subject, s.time, *req.measurements, *req.qualities).orderBy(s.subject, s.time), s.subject, s.time, None)
 
+    def write_qualities(self, path: str) -> None:
+        """All qualities as one Parquet table, a row for each subject that has any."""
+        frames = list(self.qualities.values())
+        reduce(lambda a, b: a.join(b, self.schema.subject, "full"), frames).write.mode("overwrite").parquet(path)
+
+    def describe(self) -> dict[str, dict]:
+        """What each measurement was built from, and which components sources lacked."""
+        found = {}
+        for name, fragments in self.measures.items():
+            declared = self.schema.measurement(name).components
+            found[name] = {"sources": [f.source for f in fragments], "components": self._components(self.schema.measurement(name)), "crushed": sorted({c for f in fragments for c in declared if c not in f.df.columns})}
+        return found
+
     def execute(self, requests: Sequence[SubsetRequest]) -> list[Subset]:
         return [self.subset(r) for r in requests]
 
