@@ -82,10 +82,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ra
     params = np.concatenate([w, [first], steps])
     m, v = np.zeros_like(params), np.zeros_like(params)
     rows = np.arange(len(y))
+    at_row, at_col = np.nonzero(x)  # few features are in any text
+    value = x[at_row, at_col].astype(float)
     for t in range(1, rounds + 1):
         w, first, steps = params[: x.shape[1]], params[x.shape[1]], params[x.shape[1] + 1 :]
         cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
-        s = 1 / (1 + np.exp(-np.clip(x @ w[:, None] - cuts[None, :], -30, 30)))
+        dot = np.bincount(at_row, w[at_col] * value, minlength=len(y))
+        s = 1 / (1 + np.exp(-np.clip(dot[:, None] - cuts[None, :], -30, 30)))
         edge = np.concatenate([np.ones((len(y), 1)), s, np.zeros((len(y), 1))], axis=1)
         p = np.maximum(edge[rows, y] - edge[rows, y + 1], 1e-9)
         slope = np.concatenate([np.zeros((len(y), 1)), s * (1 - s), np.zeros((len(y), 1))], axis=1)
@@ -96,7 +99,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ra
         np.add.at(g_cut, y + 1, -down / n)
         g_cut = g_cut[1:-1]
         tail = np.cumsum(g_cut[::-1])[::-1]
-        grad = np.concatenate([x.T @ g_margin + ridge * w, [tail[0]], tail[1:] * np.exp(steps)])
+        grad = np.concatenate([np.bincount(at_col, g_margin[at_row] * value, minlength=x.shape[1]) + ridge * w, [tail[0]], tail[1:] * np.exp(steps)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     w, first, steps = params[: x.shape[1]], params[x.shape[1]], params[x.shape[1] + 1 :]
@@ -133,12 +136,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     best = seen.where((F.col("b") < n) & (F.col("b") >= 3)).select("slot", "a", "b", chi.alias("chi")).where(F.col("chi") > 10).orderBy(F.col("chi").desc(), "slot").limit(max_features).collect()
     slots = {r["slot"]: k for k, r in enumerate(best)}
     favoured = np.array([r["a"] * n > r["b"] * n1 for r in best], dtype=bool)
-    keep = F.array(*[F.lit(s) for s in slots]) if slots else F.array().cast("array<int>")
-    pairs = F.filter(F.arrays_zip("slots", "times"), lambda p: F.array_contains(keep, p["slots"]))
-    got = rows.select("y", pairs.alias("pairs")).collect()
+    wanted = np.array(sorted(slots), dtype=np.int32)
+
+    def kept(batches):
+        for batch in batches:
+            found = []
+            for slot, times in zip(batch.column(1), batch.column(2)):
+                slot, times = (x.values.to_numpy() for x in (slot, times))
+                at = np.isin(slot, wanted)
+                found.append((slot[at], times[at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], names=["y", "slots", "times"])
+
+    got = rows.mapInArrow(kept, "y int, slots array<int>, times array<int>").collect()
     x = np.zeros((len(got), len(slots)), dtype=np.float32)
     for k, r in enumerate(got):
-        for slot, times in r["pairs"]:
+        for slot, times in zip(r["slots"], r["times"]):
             x[k, slots[slot]] = times
     toxic = np.array([r["y"] for r in got], dtype=np.int64)
     amount = x[:, favoured].sum(axis=1)
