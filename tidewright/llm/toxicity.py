@@ -75,9 +75,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(dot[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds by full-batch Adam on the cumulative-link likelihood."""
-    n = max(1, len(y))
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds by full-batch Adam on the cumulative-link likelihood; ``weight`` counts each row so often."""
+    share = (np.ones(len(y)) if weight is None else weight) / max(1, len(y) if weight is None else weight.sum())
     w, first, steps = np.zeros(x.shape[1]), 2.0, np.zeros(max(0, grades - 1))
     params = np.concatenate([w, [first], steps])
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -93,10 +93,10 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ra
         p = np.maximum(edge[rows, y] - edge[rows, y + 1], 1e-9)
         slope = np.concatenate([np.zeros((len(y), 1)), s * (1 - s), np.zeros((len(y), 1))], axis=1)
         up, down = slope[rows, y] / p, slope[rows, y + 1] / p
-        g_margin = -(up - down) / n
+        g_margin = -(up - down) * share
         g_cut = np.zeros(grades + 2)
-        np.add.at(g_cut, y, up / n)
-        np.add.at(g_cut, y + 1, -down / n)
+        np.add.at(g_cut, y, up * share)
+        np.add.at(g_cut, y + 1, -down * share)
         g_cut = g_cut[1:-1]
         tail = np.cumsum(g_cut[::-1])[::-1]
         grad = np.concatenate([np.bincount(at_col, g_margin[at_row] * value, minlength=x.shape[1]) + ridge * w, [tail[0]], tail[1:] * np.exp(steps)])
@@ -107,9 +107,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = MAX_EACH, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """Fit on whole texts of labelled rows outside fold 1: ``max_each`` of each class, by smallest id hash."""
+    """Fit on whole texts of labelled rows outside fold 1: ``max_each`` of each class, by smallest id hash.
+
+    Sampled rows are weighted back to their class's labelled rows, so the decision does not drift with table size.
+    """
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (fold() != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    counted = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [bounded_sample(known.where(F.col("y") == c), max_each) for c in (0, 1)]
     chosen = cut(chosen[0].unionByName(chosen[1]).distinct())  # 2 * max_each rows at most: safe to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -156,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     amount = x[:, favoured].sum(axis=1)
     cuts = np.quantile(amount[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     y = toxic * (1 + (amount[:, None] > cuts[None, :]).sum(axis=1))
-    weights, thresholds = fit_ordinal(np.log1p(x), y, GRADES)
+    each = np.array([max(1.0, counted[c] / max_each) for c in (0, 1)])
+    weights, thresholds = fit_ordinal(np.log1p(x), y, GRADES, weight=each[toxic])
     return OrdinalModel(slots, weights, thresholds)
 
 
