@@ -28,11 +28,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law "rows": shards' row counts differ by one at most. Copies of a text are rows like any other."""
+    """Law "rows": shards' row counts differ by one at most. Copies of a text are rows like any other.
+
+    Whole documents are dealt; the digest columns are made from the dealt rows.
+    """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    placed = sharding.shard_rows(docs, 16, keys=("doc_id", "text_crc32", "size"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(data) + 1).cast("long"), F.crc32(data)
+    placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), 16, keys=("doc_id", crc, size))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
 #: Partitions of the matrix, and blocks of each shard's second permutation.
 PARTITIONS, BLOCKS = 2048, 256
 
@@ -69,15 +67,16 @@ def _draw(columns: list[Column], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def shard_rows(df: DataFrame, shards: int = 16, keys: tuple[str, ...] = ("doc_id",), seed: int = 20240229, partitions: int = PARTITIONS, blocks: int = BLOCKS) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 16, keys: tuple[str | Column, ...] = ("doc_id",), seed: int = 20240229, partitions: int = PARTITIONS, blocks: int = BLOCKS) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 within the shard).
 
-    Shard sizes differ by one row at most. ``keys`` feed the random draws; rows that agree on all of them are
+    Shard sizes differ by one row at most. ``keys`` (names, or expressions over
+    ``df``) feed the random draws; rows that agree on all of them are
     interchangeable, so which of them gets which place is not defined. Null keys count as a value. Columns of
     the input named shard or slot are replaced. An empty table stays empty.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    row = [F.col(f"`{k}`") for k in keys]
+    row = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
     drawn = df.select(*[F.col(f"`{c}`") for c in names], F.pmod(_draw(row, seed), F.lit(partitions)).cast("int").alias("__part"))
     counts = {r[0]: r[1] for r in drawn.groupBy("__part").agg(F.count("*")).collect()}  # PARTITIONS rows at most
     n = sum(counts.values())
@@ -88,7 +87,8 @@ def shard_rows(df: DataFrame, shards: int = 16, keys: tuple[str, ...] = ("doc_id
     local = Window.partitionBy("__part").orderBy(_draw(row, seed + 1), *row)
     ranked = drawn.withColumn("__rank", F.row_number().over(local) - 1).join(F.broadcast(plan), "__part")
     shard = sum(((F.col("__rank") >= F.col("__bounds")[s]).cast("int") for s in range(shards - 1)), F.lit(0))
-    dealt = cut(ranked.select(*[F.col(f"`{c}`") for c in names], shard.alias("shard"), F.pmod(_draw(row, seed + 2), F.lit(blocks)).cast("int").alias("__block")))
+    # Not checkpointed, which would write every row twice: equal keys have equal blocks, so both reads below agree.
+    dealt = ranked.select(*[F.col(f"`{c}`") for c in names], shard.alias("shard"), F.pmod(_draw(row, seed + 2), F.lit(blocks)).cast("int").alias("__block"))
     # The blocks of a shard follow each other: their sizes, summed up, are where each begins.
     before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__block")) - F.col("__n")
     starts = dealt.groupBy("shard", "__block").agg(F.count("*").alias("__n")).select("shard", "__block", before.alias("__start"))
