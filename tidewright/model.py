@@ -356,6 +356,8 @@ class SubsetRequest:
     @classmethod
     def from_json(cls, text: str | dict) -> SubsetRequest:
         d = json.loads(text) if isinstance(text, str) else dict(text)
+        if unread := [f for f in ("synthetic_subjects", "report_interval", "component_filters") if d.get(f)]:
+            raise RequestError(f"not read from JSON: {unread}")
         subjects = None
         if f := d.get("subject_filter"):
             kind = f.get("type", "Include").lower()

@@ -219,7 +219,10 @@ class Universe:
         out = out.select(s.subject, s.time, *req.measurements, *req.qualities)
         if req.report:
             numeric = {n: a for n, a in self._aggregates(req).items() if s.measurement(n)}
-            return Subset(A.report(out, req.report, s.subject, s.time, numeric), s.subject, s.time, req.report.approximate_ms, notes)
+            out = A.report(out, req.report, s.subject, s.time, numeric)
+            if req.synthetic:  # over the report's rows; qualities are there only to group by
+                out = R.add_synthetic(self._with_qualities(out, req), req.synthetic, s.subject, s.time, numeric).select(*out.columns)
+            return Subset(out, s.subject, s.time, req.report.approximate_ms, notes)
         if req.synthetic:
             out = R.add_synthetic(out, req.synthetic, s.subject, s.time, self._aggregates(req))
         return Subset(out, s.subject, s.time, step, notes)
