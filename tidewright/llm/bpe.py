@@ -6,10 +6,15 @@ in turn be undone by one of still lower rank further right, and so on. Ranks fal
 longest one is found by dynamic programming over the merges in rank order (``sufficient_lookahead``).
 
 A boundary between tokens that lies at least this many symbols before the end of what has been read is
-therefore final, and by the same argument the text on its two sides can be tokenised apart. The encoder holds a
-window of a pre-token, tokenises it, emits the tokens before the last stable boundary and reads on: memory does
-not grow with the length of a pre-token or text. Pre-tokens that fit into the window are looked up in a cache
-of bounded size.
+therefore final, and by the same argument the text on its two sides can be tokenised apart. The transducer holds
+a window of a pre-token, tokenises it, emits the tokens before the last stable boundary and reads on. Every
+pre-token goes through it; a memo of bounded size keeps what it returned for short ones.
+
+Texts are read in blocks of ``BLOCK`` characters, cut at white space. A stretch without white space that is longer
+than a block is normalised up to characters that no normalisation joins to what is before them, and a pre-token
+that does not end in its block stays open: its bytes go to the transducer as they come. So beyond the text itself
+memory does not grow with the length of a text, a word or a pre-token (a run of combining marks, which
+normalisation sorts, is held whole).
 
 Reference for the idea: Berglund and van der Merwe, "Formalizing BPE Tokenization" (2023).
 """
@@ -19,6 +24,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import unicodedata
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
@@ -72,21 +78,42 @@ class Merges:
 
     def stream(self, ids: Iterable[int], window: int | None = None) -> Iterator[int]:
         """Tokens of one pre-token, each as soon as it is stable. Symbols ``ids`` are read once, left to right."""
-        window = max(window or 0, 4 * self.lookahead + 64)
-        held: list[int] = []
+        machine = Transducer(self, window)
         for s in ids:
-            held.append(s)
-            if len(held) >= window:
-                stable, done = len(held) - self.lookahead, 0
-                for token in self.tokens(list(held)):
-                    if done + (w := self.width[token]) > stable:
+            yield from machine.feed([s])
+        yield from machine.finish()
+
+
+class Transducer:
+    """Symbols of one pre-token in, its tokens out. State: the symbols behind the last stable boundary, a window at most."""
+
+    def __init__(self, merges: Merges, window: int | None = None):
+        self.merges, self.held = merges, []
+        self.window = max(window or 0, 4 * merges.lookahead + 64)
+
+    def feed(self, ids: list[int]) -> list[int]:
+        """Reads more symbols; the tokens that have become stable."""
+        held, width, out, at = self.held, self.merges.width, [], 0
+        while at < len(ids):
+            more = ids[at : at + self.window - len(held)]
+            held += more
+            at += len(more)
+            if len(held) >= self.window:
+                stable, done = len(held) - self.merges.lookahead, 0
+                for token in self.merges.tokens(held.copy()):
+                    if done + (w := width[token]) > stable:
                         break
-                    yield token
+                    out.append(token)
                     done += w
                 if not done:
                     raise ValueError("a token is longer than the window")
                 del held[:done]
-        yield from self.tokens(held)
+        return out
+
+    def finish(self) -> list[int]:
+        """The rest, as no more symbols come; ready for the next pre-token."""
+        out, self.held = self.merges.tokens(self.held), []
+        return out
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
@@ -113,8 +140,13 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
     return longest
 
 
-#: Entries of a cache's generation, of pieces and of words. Longer strings are streamed and not cached.
+#: Entries of a memo's generation, of pieces and of words; longer strings are not kept.
 PIECES, WORDS, LONG = 1 << 19, 1 << 18, 64
+#: Characters of a text that are normalised and split at once.
+BLOCK = 1 << 16
+#: Characters by which what follows can change how a text is split: the longest fixed alternative of the pattern.
+EDGE = 4
+WHITE = regex.compile(r"[ \t\n\r]")
 
 
 class Cache(dict):
@@ -167,44 +199,90 @@ class WordBpe:
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.final = [self.vocab.get(c + self.merges.end) for c in alphabet]
         self.by_word, self.by_piece = Cache(self.word, WORDS), Cache(self.piece, PIECES)
+        self.block = BLOCK
 
     def word(self, word: str) -> bytes:
         """Packed ids (little-endian, 32 bits) of one pre-token: its bytes, the last with the end mark, merged.
 
         Bytes that the vocabulary lacks are left out.
         """
-        raw, inner = word.encode("utf-8"), self.inner
-        last = self.final[raw[-1]]
-        ids = (i for i in (*map(inner.__getitem__, raw[:-1]), last) if i is not None)
-        return array("I", self.merges.tokens(list(ids)) if len(word) <= LONG else self.merges.stream(ids)).tobytes()
+        machine, out, raw = Transducer(self.merges), array("I"), word.encode("utf-8")
+        for start in range(0, len(raw), self.block):
+            part = [self.inner[b] for b in raw[start : start + self.block]]
+            if start + self.block >= len(raw):
+                part[-1] = self.final[raw[-1]]
+            out.extend(machine.feed([i for i in part if i is not None]))
+        out.extend(machine.finish())
+        return out.tobytes()
 
     def piece(self, piece: str) -> bytes:
         """Packed ids of a lower-case Latin-1 text without white space."""
         return b"".join(map(self.by_word.__getitem__, self.split.findall(piece)))
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        try:
-            text.encode("latin-1")
-            latin = True
-        except UnicodeEncodeError:
-            latin = False
-        if not latin:
-            parts, cache = [w for w, _ in self.other_split.pre_tokenize_str(self.normalizer.normalize_str(text))], self.by_word
-        elif any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
-            parts, cache = self.split.findall(text.lower()), self.by_word
-        else:  # Latin-1 text is composed already
-            parts, cache = text.lower().split(), self.by_piece
-        for start in range(0, len(parts), 65536):
-            yield b"".join(map(cache.__getitem__, parts[start : start + 65536]))
+    def _block(self, text: str) -> bytes:
+        """Packed ids of a text with white space, or an end of the whole text, on both sides."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return b"".join(self.by_word[w] for w, _ in self.other_split.pre_tokenize_str(self.normalizer.normalize_str(text)))
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+            return b"".join(map(self.by_word.__getitem__, self.split.findall(text.lower())))
+        return b"".join(map(self.by_piece.__getitem__, text.lower().split()))  # Latin-1 text is composed already
+
+    def _plain(self, text: str, at: int, stop: int) -> Iterator[bytes]:
+        """Packed ids of ``text[at:stop]``, which has no special token, block by block."""
+        while at < stop:
+            end = min(at + self.block, stop)
+            if end < stop:
+                cut = max(text.rfind(c, at, end) for c in " \t\n\r")
+                if cut < at:
+                    white = WHITE.search(text, end, stop)
+                    end = white.start() if white else stop
+                    yield from self._stretch(text, at, end)
+                    at = end
+                    continue
+                end = cut + 1
+            yield self._block(text[at:end])
+            at = end
+
+    def _stretch(self, text: str, at: int, stop: int) -> Iterator[bytes]:
+        """Packed ids of a stretch that is longer than a block and has no white space to cut at."""
+        rest, run = "", OpenRun(self)
+        while at < stop:
+            end = min(at + self.block, stop)
+            while end < stop and not stands_alone(text[end]):
+                end += 1
+            rest += self.normalizer.normalize_str(text[at:end])
+            at = end
+            if run.probe:  # a pre-token from before: what the probe's class takes in goes on
+                n = self.other_split.pre_tokenize_str(run.probe + rest)[0][1][1] - 1
+                yield run.feed(rest[:n])
+                rest = rest[n:]
+                if not rest and at < stop:
+                    continue
+                yield run.finish()
+            found, done = self.other_split.pre_tokenize_str(rest), 0
+            for word, (first, after) in found:
+                if at < stop and after > len(rest) - EDGE:
+                    if after == len(rest) and after - first >= 2 * EDGE:  # no fixed alternative is so long: a run
+                        yield run.open(word)
+                        done = after
+                    break
+                yield self.by_word[word]
+                done = after
+            rest = rest[done:]
+        if run.probe:
+            yield run.finish()
 
     def encode_stream(self, text: str) -> Iterator[bytes]:
-        """Packed ids of the text, piece by piece. Special tokens in the raw text are found before all else."""
+        """Packed ids of the text, block by block. Special tokens in the raw text are found before all else."""
         at = 0
         for m in self.cuts.finditer(text) if self.cuts else ():
-            yield from self._plain(text[at : m.start()])
+            yield from self._plain(text, at, m.start())
             yield array("I", [self.special[m[0]]]).tobytes()
             at = m.end()
-        yield from self._plain(text[at:] if at else text)
+        yield from self._plain(text, at, len(text))
 
     def encode(self, text: str) -> array:
         ids = array("I")
@@ -213,42 +291,79 @@ class WordBpe:
         return ids
 
 
-class TokenJoiner:
-    """Decoding without a decoder step: tokens' own strings with single spaces between. State: any token yet?"""
+def stands_alone(c: str) -> bool:
+    """No normalisation form C joins this character to one before it, so a text may be cut in front of it."""
+    if c < "\u0300":
+        return True
+    # Vowel and trailing consonant letters that compose with what is before them, though they are no marks.
+    composing = "\u1160" <= c <= "\u11ff" or "\U00016d40" <= c <= "\U00016d7f"
+    return not composing and unicodedata.combining(c) == 0 and unicodedata.category(c)[0] not in "MC"
 
-    def __init__(self, names: dict[int, str]):
-        self.pieces, self.begun = {i: " " + t for i, t in names.items()}, False
 
-    def feed(self, ids: Iterable[int]) -> str:
-        text = "".join(map(self.pieces.__getitem__, ids))
-        if text and not self.begun:
-            self.begun, text = True, text[1:]
-        return text
+class OpenRun:
+    """A pre-token whose end has not been seen. ``probe`` is a character of its class, or empty: none is open.
 
-    def finish(self) -> str:
-        self.begun = False
-        return ""
+    The last byte is held back, since it takes the end mark if nothing follows.
+    """
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.machine, self.probe, self.last = bpe, Transducer(bpe.merges), "", None
+
+    def open(self, word: str) -> bytes:
+        self.probe = "a" if len(self.bpe.other_split.pre_tokenize_str("a" + word[0])) == 1 else "!"
+        return self.feed(word)
 
+    def feed(self, more: str) -> bytes:
+        raw = more.encode("utf-8")
+        if not raw:
+            return b""
+        before, inner = ([] if self.last is None else [self.last]), self.bpe.inner
+        self.last = raw[-1]
+        return array("I", self.machine.feed([i for b in (*before, *raw[:-1]) if (i := inner[b]) is not None])).tobytes()
 
-class ByteJoiner:
-    """Decoding to the bytes that tokens stand for and on to text; an incomplete character is held back."""
+    def finish(self) -> bytes:
+        end = self.bpe.final[self.last]
+        out = array("I", self.machine.feed([] if end is None else [end]))
+        out.extend(self.machine.finish())
+        self.probe, self.last = "", None
+        return out.tobytes()
 
-    def __init__(self, names: dict[int, str], end: str = "", special: Iterable[str] = ()):
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        raw = lambda t: t.encode() if t in special else bytes(back[c] for c in (t[: -len(end)] if end and t.endswith(end) else t)) + (b" " if end and t.endswith(end) else b"")
-        special = set(special)
-        self.pieces = {i: raw(t) for i, t in names.items()}
+
+class Decoder:
+    """Tokens in, text out: an incremental byte-to-text state machine.
+
+    Tokens' bytes follow each other, with ``separator`` between them. State: the bytes of a character that is not
+    complete yet, and whether a token has come.
+    """
+
+    def __init__(self, pieces: dict[int, bytes], separator: bytes = b""):
+        self.pieces, self.skip, self.begun = {i: separator + b for i, b in pieces.items()}, len(separator), False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join(map(self.pieces.__getitem__, ids)))
+        raw = b"".join(map(self.pieces.__getitem__, ids))
+        if raw and not self.begun:
+            self.begun, raw = True, raw[self.skip :]
+        return self.state.decode(raw)
 
     def finish(self) -> str:
-        text = self.state.decode(b"", final=True)
+        """What is left over; ready for the next text."""
+        text, self.begun = self.state.decode(b"", final=True), False
         self.state.reset()
         return text
 
 
+def token_decoder(names: dict[int, str]) -> Decoder:
+    """For files without a decoder step, such as this one: tokens' own strings with single spaces between."""
+    return Decoder({i: t.encode("utf-8") for i, t in names.items()}, b" ")
+
+
+def byte_decoder(names: dict[int, str], special: Iterable[str] = ()) -> Decoder:
+    """For files of the byte-level kind with a byte decoder: the bytes that tokens' characters stand for."""
+    back, special = {c: b for b, c in enumerate(byte_alphabet())}, set(special)
+    return Decoder({i: t.encode("utf-8") if t in special else bytes(back[c] for c in t) for i, t in names.items()})
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -264,7 +379,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, id_col:
 
     def run(batches):
         bpe = load(path)
-        joiner = TokenJoiner(bpe.names)
+        decoder = token_decoder(bpe.names)
         for batch in batches:
             n, ids_sha, text_sha, packed = [], [], [], []
             for part in rows_of(batch, 1):
@@ -274,10 +389,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, id_col:
                         of_ids.update(piece)
                         ids = array("I", piece)
                         total += len(ids)
-                        of_text.update(joiner.feed(ids).encode("utf-8"))
+                        of_text.update(decoder.feed(ids).encode("utf-8"))
                         if with_ids:
                             packed.append(piece)
-                    of_text.update(joiner.finish().encode("utf-8"))
+                    of_text.update(decoder.finish().encode("utf-8"))
                     n.append(total), ids_sha.append(of_ids.hexdigest()), text_sha.append(of_text.hexdigest())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
