@@ -54,7 +54,7 @@ def slow_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def slow_components(fps):
+def slow_components(fps, radius=2):
     parent = list(range(len(fps)))
 
     def find(x):
@@ -64,7 +64,7 @@ def slow_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -81,27 +81,28 @@ def test_simhash_matches_brute_force(docs):
     assert [r["component_id"] for r in got] == [smallest.get(root) for root in roots]
 
 
-@pytest.mark.parametrize("limit", [0, 2, 64])
-def test_links_keep_components_for_any_bucket_limit(spark, limit):
-    rng = random.Random(5)
-    seeds = [rng.getrandbits(64) for _ in range(6)]
-    fps = {s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(25)} | set(seeds)
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), bucket_limit=limit).collect()
-    index = {f[0]: k for k, f in enumerate(signed)}
-    parent = list(range(len(signed)))
+@pytest.mark.parametrize("radius", range(7))
+def test_links_are_all_pairs_within_the_radius(spark, radius):
+    """Crowded buckets too: many fingerprints that share most of their bits."""
+    rng = random.Random(radius)
+    fps = set()
+    for _ in range(5):
+        seed = rng.getrandbits(64)
+        fps |= {seed} | {seed ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5))) for _ in range(20)}
+    seed = rng.getrandbits(64)
+    fps |= {seed ^ k for k in range(60)} | {rng.getrandbits(64) for _ in range(20)} | {0, (1 << 64) - 1, 1 << 63}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()]
+    want = {(a, b) for k, b in enumerate(signed) for a in signed[:k] if bin((a ^ b) % (1 << 64)).count("1") <= radius}
+    assert set(got) == want and len(got) == len(want)
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for e in edges:
-        assert bin((e["a"] ^ e["b"]) % (1 << 64)).count("1") <= 2
-        parent[find(index[e["a"]])] = find(index[e["b"]])
-    want = slow_components([f[0] % (1 << 64) for f in signed])
-    pairs = lambda roots: {frozenset(k for k, r in enumerate(roots) if r == x) for x in roots}
-    assert pairs([find(k) for k in range(len(signed))]) == pairs(want)
+@pytest.mark.parametrize("radius", range(7))
+def test_keys_cover_the_radius(radius):
+    rng, keys = random.Random(radius), simhash.cover(radius)
+    for _ in range(400):
+        error = sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 1)))
+        assert any(error & keep == flip for keep, flip in keys)
 
 
 def test_simhash_of_empty_table(nothing):
@@ -184,8 +185,8 @@ def test_bpe_equals_the_library(docs):
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
         assert list(own.encode(t)) == ids
-        joiner = bpe.TokenJoiner(own.names)
-        assert "".join(joiner.feed([i]) for i in ids) + joiner.finish() == lib.decode(ids, skip_special_tokens=False)
+        decoder = bpe.token_decoder(own.names)
+        assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == lib.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_streams_in_constant_memory():
@@ -209,12 +210,12 @@ def test_bpe_streams_in_constant_memory():
         assert tokens == own.merges.tokens(list(symbols)) and worst <= limit
 
 
-def test_byte_joiner_holds_back_parts_of_a_character():
+def test_byte_decoder_holds_back_parts_of_a_character():
     alphabet = bpe.byte_alphabet()
     names = {k: alphabet[b] for k, b in enumerate("é世".encode())}
-    joiner = bpe.ByteJoiner(names)
-    assert [joiner.feed([k]) for k in range(5)] == ["", "é", "", "", "世"]
-    assert joiner.feed([0]) == "" and joiner.finish() == "�"
+    decoder = bpe.byte_decoder(names)
+    assert [decoder.feed([k]) for k in range(5)] == ["", "é", "", "", "世"]
+    assert decoder.feed([0]) == "" and decoder.finish() == "�"
 
 
 def test_bpe_rows(docs, nothing):

@@ -3,19 +3,21 @@
 Every document gets a 64-bit SimHash of its word shingles. Two fingerprints link when they differ in at
 most two bits; linked fingerprints form components, and a component is named by its smallest document id.
 
-Candidates come from multi-index hashing with two 32-bit segments. By the pigeonhole principle a pair at
-distance two or less differs in at most one bit of the high segment, or agrees on the whole low segment. So
-the high segment is probed with its Hamming ball of radius 1 and the low segment with radius 0; each fetched
-table row is verified over all 64 bits.
-
-Copies never multiply: the index holds distinct fingerprints. A segment value shared by more than
-``bucket_limit`` distinct fingerprints is not paired up. Its members, and whatever probes it, instead meet on
-the balls of radius 1 around the complete fingerprint: two fingerprints are within two bits exactly if these
-balls share a point, and a point has at most 65 fingerprints in its ball, so groups there are bounded.
+Candidates come from multi-index hashing on two levels. The 64 bits are cut into segments; by the pigeonhole
+principle a pair within the radius has a segment in which it lies within a small Hamming ball (radius 1 or 0). What
+is left of the radius is spent on the other bits in the same way: they are cut into segments, one of which lies in a
+small ball again. So a table key is a segment and a segment of the rest, for radius 2 three quarters of the
+fingerprint. Each fingerprint probes the balls' points (``cover`` lists them: 100 for radius 2, half of which are
+met from one side only), fetches the table's matches and is verified over all 64 bits.
+
+The keys are the same at every size of the data and of a bucket. A bucket has at most 2**16 distinct fingerprints, as
+only 16 bits are free in it, so no value can fill a task, and random fingerprints hardly ever meet. The index holds
+distinct fingerprints, so copies never multiply.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import repeat
 
 import numpy as np
@@ -70,37 +72,44 @@ def hex_of(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def _ball(value: Column, bits: int, kind: str) -> Column:
-    """The value, and the value with each one of its low ``bits`` bits flipped."""
-    one = F.lit(1).cast(kind)
-    return F.array(value, *[value.bitwiseXOR(F.shiftleft(one, i)) for i in range(bits)])
+def cover(radius: int, levels: int = 2, free: tuple[int, ...] = tuple(range(64))) -> list[tuple[int, int]]:
+    """Keys (bits kept, bits flipped), as masks, of which every pair within ``radius`` differing bits shares one.
 
-
-def links(distinct: DataFrame, radius: int = 2, bucket_limit: int = 64) -> DataFrame:
-    """Verified links ``(a, b)`` between distinct fingerprints (column ``fp``).
-
-    A link set whose components are those of all pairs within ``radius`` (0 to 2). Pairs met in cold buckets
-    are all returned; in hot buckets each ball point links its fingerprints to the smallest one.
+    Segments have radius 1 or 0, and their radii with one more each add up to one more than ``radius``: a pair cannot
+    go beyond all of them. Each point of a segment's ball leaves the rest of the radius to the other bits.
     """
-    if radius > 2:
-        raise ValueError("segments of 32 bits with radii 1 and 0 cover a radius of 2 at most")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    # One column holds segment and value: the low segment's keys are marked by bit 32.
-    table = distinct.select("fp", F.explode(F.array(high, low.bitwiseOR(F.lit(1 << 32)))).alias("key"))
-    flips = [F.when(high.bitwiseAND(F.lit(1 << i)) == 0, high.bitwiseOR(F.lit(1 << i))) for i in range(32)]
-    probe_keys = F.array_compact(F.array(high, low.bitwiseOR(F.lit(1 << 32)), *flips))
-    probes = distinct.select(F.col("fp").alias("a"), F.explode(probe_keys).alias("key"))
-    hot = cut(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit).select("key"))
-    # Flips only set bits, so a pair that differs in the segment meets once; one that agrees meets from both ends.
-    cold = table.select("key", F.col("fp").alias("b")).join(hot, "key", "left_anti")
-    pairs = probes.join(cold, "key").where((F.col("a") != F.col("b")) & near("a", "b"))
-    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = probes.join(hot, "key", "left_semi").select(F.col("a").alias("fp")).distinct()
-    points = crowded.select("fp", F.explode(_ball(F.col("fp"), 64, "long")).alias("point"))
-    groups = points.groupBy("point").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    stars = groups.select(F.col("fps")[0].alias("a"), F.explode(F.expr("slice(fps, 2, size(fps) - 1)")).alias("b")).where(near("a", "b"))
-    return found.unionByName(stars).distinct()
+    if not levels or not free:
+        return [(0, 0)]
+    count = radius + 1 if radius < 2 else radius // 2 + 1
+    wide = radius + 1 - count  # segments of radius 1; the last ones have radius 0
+    out = []
+    for k in range(count):
+        segment = free[k * len(free) // count : (k + 1) * len(free) // count]
+        rest = tuple(b for b in free if b not in segment)
+        for flip in [0, *(1 << b for b in segment)] if k < wide else [0]:
+            out += [(sum(1 << b for b in segment) | keep, flip | more) for keep, more in cover(radius - (flip > 0), levels - 1, rest)]
+    return list(dict.fromkeys(out))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """All links ``(a, b)``, a < b, between distinct fingerprints (column ``fp``) within ``radius`` differing bits."""
+    keys = cover(radius)
+    tables = {keep: t for t, keep in enumerate(dict.fromkeys(keep for keep, _ in keys))}
+    constant = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)  # noqa: E731  of the radius, not of the data
+    kept = constant([{"t": t, "keep": _signed(keep)} for keep, t in tables.items()], "array<struct<t:int,keep:bigint>>")
+    table = distinct.select(F.col("fp").alias("b"), F.explode(kept).alias("k")).select("b", "k.t", F.col("b").bitwiseAND(F.col("k.keep")).alias("key"))
+    points = constant([{"t": tables[keep], "keep": _signed(keep), "flip": _signed(flip), "first": _signed(flip & -flip)} for keep, flip in keys], "array<struct<t:int,keep:bigint,flip:bigint,first:bigint>>")
+    # Of two fingerprints that differ in flipped bits, the one with zero in the first of them finds the other.
+    probes = distinct.select(F.col("fp").alias("a"), F.explode(points).alias("p")).where(F.col("a").bitwiseAND(F.col("p.first")) == 0)
+    probes = probes.select("a", F.col("p.t").alias("t"), F.col("a").bitwiseXOR(F.col("p.flip")).bitwiseAND(F.col("p.keep")).alias("key"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    p, q = probes.alias("p"), table.alias("q")
+    pairs = p.join(q, (F.col("p.t") == F.col("q.t")) & (F.col("p.key") == F.col("q.key")) & (F.col("a") != F.col("b")) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
