@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.materialize import cut, remove, shared_dir  # noqa: F401  the operators take them from here
+
 #: ASCII white space as the data contracts define it ([\x20\x09-\x0D]).
 WHITE = b" \t\n\x0b\x0c\r"
 #: The same set as a Java regular expression for words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; one of our own only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-ckpt-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        return current.get()
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: lost executors re-read the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the memory of an Arrow batch, for tables that hold some very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -52,11 +36,12 @@ def rows_of(batch: pa.RecordBatch, column: int, step: int = 256) -> Iterator[lis
 
 
 def bounded_sample(rows: DataFrame, limit: int, *ties: str) -> DataFrame:
-    """At most ``limit`` rows, those of the smallest hash of doc_id, for fitting a model.
+    """At most ``limit`` distinct rows, those of the smallest hash of doc_id, for fitting a model.
 
     The hash is cut off a little above where the limit should fall, so that no task sorts or sends many more
     rows than its share of the sample.
     """
+    rows = rows.distinct()  # rows that repeat an id would crowd out others
     h, n = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), rows.count()
     if n > limit:
         rows = rows.where(h < math.ceil((1 << 31) * min(1.0, (limit + 6 * math.sqrt(limit) + 10) / n)))

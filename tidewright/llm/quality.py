@@ -23,10 +23,14 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def fit_on(stats: DataFrame, labels: DataFrame, label: str = "quality", monotone: dict[int, int] | None = None, limit: int = MAX_LABELLED) -> gbdt.Forest:
-    """Fit on labelled rows outside fold 1, ``limit`` of them at most; null labels and ids don't count."""
+    """Fit on labelled rows outside fold 1, ``limit`` of them at most; null labels and ids don't count.
+
+    Of documents that share a labelled id the one with the least features counts, so ``limit`` also bounds what
+    comes to the driver.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
-    rows = stats.select("doc_id", "features").join(cut(bounded_sample(known, limit, "y")), "doc_id").orderBy("doc_id", "y").select("features", "y")
-    got = rows.collect()
+    rows = stats.select("doc_id", "features").join(cut(bounded_sample(known, limit, "y")), "doc_id")
+    got = rows.groupBy("doc_id", "y").agg(F.min("features").alias("features")).orderBy("doc_id", "y").select("features", "y").collect()
     x = np.array([r[0] for r in got], dtype=float).reshape(-1, len(FEATURES))
     return gbdt.fit(x, np.array([r[1] for r in got], dtype=float), monotone)
 

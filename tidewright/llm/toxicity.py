@@ -5,7 +5,8 @@ the labels (chi-square over the labelled sample) are kept. P(grade >= k) = sigmo
 share the weights, and the expected severity is the sum of these probabilities over k.
 
 Labels only say toxic or not. Toxic rows of the sample get grades 1 to 3 by terciles of how many of their words
-carry a feature that toxic rows favour.
+carry a feature that toxic rows favour. So grades 2 and 3 measure an amount that the model's own features found, and
+only the step from 0 to 1 is learned from what people marked.
 """
 
 from __future__ import annotations
@@ -110,10 +111,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     """Fit on whole texts of labelled rows outside fold 1: ``max_each`` of each class, by smallest id hash.
 
     Sampled rows are weighted back to their class's labelled rows, so the decision does not drift with table size.
+    Of documents that share a labelled id one counts (that of the least text hash), so ``max_each`` also bounds what
+    comes to the driver. No labelled document, or one class only: a model that calls nothing toxic.
     """
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (fold() != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    counted = {r["y"]: r["n"] for r in known.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = known.where("y in (0, 1) and doc_id is not null").distinct()
+    counted = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [bounded_sample(known.where(F.col("y") == c), max_each) for c in (0, 1)]
     chosen = cut(chosen[0].unionByName(chosen[1]).distinct())  # 2 * max_each rows at most: safe to broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -121,16 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     def run(batches):
         for batch in batches:
             slots = []
-            for part in rows_of(batch, 1):
+            for part in rows_of(batch, 2):
                 for text in part:
                     count: Counter = Counter()
                     for word, times in Counter(words_of(text)).items():
                         for s in features_of(word):
                             count[s] += times
                     slots.append((list(count.keys()), list(count.values())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in slots], pa.list_(pa.int32())), pa.array([c for _, c in slots], pa.list_(pa.int32()))], names=["y", "slots", "times"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array([s for s, _ in slots], pa.list_(pa.int32())), pa.array([c for _, c in slots], pa.list_(pa.int32()))], names=["y", "doc_id", "tie", "slots", "times"])
 
-    rows = cut(sample.select("y", "text").mapInArrow(run, "y int, slots array<int>, times array<int>"))
+    found = sample.select("y", "doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "y int, doc_id long, tie long, slots array<int>, times array<int>")
+    one = found.groupBy("y", "doc_id").agg(F.min(F.struct("tie", "slots", "times")).alias("r"))
+    rows = cut(one.select("y", "r.slots", "r.times"))
     n1, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     if not 0 < n1 < n:
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
@@ -168,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` with ``expected_severity`` (0 to 3), ``p_toxic``, ``grade`` (most likely) and ``toxic``.
 
-    Columns of these names are replaced, others pass through. Null texts are scored as empty: grade 0.
+    Columns of these names are replaced, others pass through. Null and empty texts hold no feature and are not
+    toxic unless the labels say that most documents are. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("expected_severity", "p_toxic", "grade", "toxic")]
