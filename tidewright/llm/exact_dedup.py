@@ -3,13 +3,14 @@
 Every task keeps an index of its own rows. The memtable maps digests to texts, identifiers and counts; hits in
 it are verified on bytes at once. A full memtable is flushed as a run sorted by digest with a Bloom filter.
 Runs are compacted level by level: of a digest's entries the preferred identifier survives (the smallest, or
-the largest on request) and counts add up. What a task sends on is one entry for each digest it has seen, so a
-text with very many copies shrinks to one entry a task before anything is shuffled; the same compaction then
-runs between tasks as an aggregate.
-
-A hit between runs or tasks is verified on bytes too: a second scan keeps the rows that a filter of fixed size
-over the hit digests admits, and each entry's text is compared with the survivor's. Digests whose entries
-differ (a collision) are regrouped by their whole texts' SHA-256.
+the largest on request) and counts add up. A run that has grown to ``RUN_ROWS`` entries leaves the task's memory as
+rows of the index table, so memory does not grow with a task's rows. What a task sends on is one entry for each
+digest in such a run, so a text with very many copies shrinks to an entry a run before anything is shuffled; the
+same compaction then runs between tasks as an aggregate.
+
+A hit between runs or tasks is verified on bytes too, by a second scan: a filter over (digest, identifier) of the
+entries in question admits their rows, one text for an entry and not the copies' texts, and the least and the greatest
+text of a digest must agree. Digests whose entries differ (a collision) are regrouped by their whole texts' SHA-256.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import bound_batches, cut, rows_of, utf8
 
 #: A memtable is flushed beyond these rows or bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 10_000, 32 << 20
-#: Bits of the filter that the verifying scan gets; its size never depends on the data.
-SCAN_FILTER_BITS = 1 << 22
+#: A task's runs leave memory as rows beyond these entries.
+RUN_ROWS = 100_000
+#: Bits of the verifying scan's filter for each entry in question, and in all, whatever the data's size. Beyond the
+#: latter it admits more rows than are wanted, which costs time and changes no result.
+FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 26
 
 DOC, ENTRY, CHECK = 0, 1, 2
 
@@ -68,6 +73,7 @@ class MergeIndex:
         self.levels: list[list[tuple[list, BloomFilter]]] = []
         self.hits: list[tuple[bytes, object]] = []
         self.held = 0
+        self.flushed = 0
 
     def put(self, digest: bytes, text: bytes, ident) -> None:
         versions = self.mem.setdefault(digest, [])
@@ -92,6 +98,7 @@ class MergeIndex:
                 self.hits.append((digest, ident))
             run.append((digest, ident, count))
         self.mem, self.held, level = {}, 0, 0
+        self.flushed += len(run)
         while run:
             if len(self.levels) == level:
                 self.levels.append([])
@@ -128,6 +135,12 @@ class MergeIndex:
         self.flush()
         return self.compacted(r for level in self.levels for r, _ in level)
 
+    def leave(self) -> tuple[list[tuple], set[tuple]]:
+        """One run of everything, and its unverified hits; the index is empty afterwards."""
+        run, hits = self.entries(), set(self.hits)
+        self.levels, self.hits, self.flushed = [], [], 0
+        return run, hits
+
 
 def _ingest(largest: bool, digest_bytes: int):
     names = ["kind", "doc_id", "digest", "n"]
@@ -136,6 +149,12 @@ def _ingest(largest: bool, digest_bytes: int):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
+    def rest(index: MergeIndex):
+        run, hits = index.leave()
+        rows = [(ENTRY, i, d, n) for d, i, n in run] + [(CHECK, i, d, 0) for d, i in hits]
+        for start in range(0, len(rows), 10_000):
+            yield batch_of(rows[start : start + 10_000])
+
     def run(batches):
         index = MergeIndex(prefer=max if largest else min)
         for batch in batches:
@@ -147,43 +166,47 @@ def _ingest(largest: bool, digest_bytes: int):
                     out.append((DOC, ident, sha, 1))
             if out:
                 yield batch_of(out)
-        rest = [(ENTRY, i, d, n) for d, i, n in index.entries()] + [(CHECK, i, d, 0) for d, i in set(index.hits)]
-        for start in range(0, len(rest), 10_000):
-            yield batch_of(rest[start : start + 10_000])
+            if index.flushed >= RUN_ROWS:
+                yield from rest(index)
+        yield from rest(index)
 
     return run
 
 
-def _scan_filter(digests: DataFrame) -> bytes:
-    """Bits of the fixed-size filter over a digest column, OR-ed in the cluster; at most SCAN_FILTER_BITS come back."""
-    # Probe positions come from the digest's hex form, so the filter is built without Python.
-    part = lambda i: F.coalesce(F.conv(F.nullif(F.substring(F.hex("digest"), 1 + 6 * i, 6), F.lit("")), 16, 10).cast("long"), F.lit(0)) % SCAN_FILTER_BITS
-    marks = digests.select(F.explode(F.array(part(0), part(1))).alias("slot"))
+def _entry_key(digest: Column, ident: Column) -> Column:
+    return F.concat(digest, F.coalesce(ident.cast("string"), F.lit("~")).cast("binary"))
+
+
+def _scan_filter(wanted: DataFrame, rows: int) -> bytes:
+    """Bits of a filter over ``rows`` pairs (digest, doc_id), OR-ed in the cluster; FILTER_BITS_MOST come back at most."""
+    size = 1 << min(FILTER_BITS_MOST.bit_length() - 1, max(10, (FILTER_BITS_EACH * rows).bit_length()))
+    h = F.xxhash64(_entry_key(F.col("digest"), F.col("doc_id")))  # seed 42
+    marks = wanted.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size)))).alias("slot"))
     words = marks.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    table = np.zeros(SCAN_FILTER_BITS // 64, dtype=np.int64)
-    for word, bits in words.collect():
-        table[word] = bits
+    table = np.zeros(size // 64, dtype="<i8")
+    got = words.toArrow()
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return table.tobytes()
 
 
 def _admitted(bits: bytes, digest_bytes: int):
-    """Rows whose digest the filter admits, with SHA-256."""
+    """Rows whose digest and id the filter admits."""
+    mask = 8 * len(bits) - 1
+
     def run(batches):
-        table = bits
         for batch in batches:
-            at, shas, texts = [], [], []
+            at, digests, texts = [], [], []
             ids, k = batch.column(0), 0
+            names = iter(ids.to_pylist())
             for part in rows_of(batch, 1):
                 for text in part:
-                    sha = hashlib.sha256(text).digest()
-                    for i in (0, 3):
-                        slot = int.from_bytes(sha[:digest_bytes][i : i + 3], "big") % SCAN_FILTER_BITS
-                        if not table[slot >> 3] >> (slot & 7) & 1:
-                            break
-                    else:
-                        at.append(k), shas.append(sha), texts.append(text)
+                    digest, ident = hashlib.sha256(text).digest()[:digest_bytes], next(names)
+                    h = xxh64_intdigest(digest + (b"~" if ident is None else b"%d" % ident), seed=42)
+                    low, high = h & mask, h >> 32 & mask
+                    if bits[low >> 3] >> (low & 7) & 1 and bits[high >> 3] >> (high & 7) & 1:
+                        at.append(k), digests.append(digest), texts.append(text)
                     k += 1
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(shas, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "sha", "text"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "digest", "text"])
 
     return run
 
@@ -209,13 +232,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     loose = runs.where(f"kind <> {DOC}").join(hits, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("kind") == CHECK))
     checks = loose.select("digest", "doc_id", "keep_id").distinct()
     wanted = cut(checks.select("digest", "doc_id").unionByName(checks.select("digest", F.col("keep_id").alias("doc_id"))).distinct())
-    found = narrow.mapInArrow(_admitted(_scan_filter(wanted), digest_bytes), "doc_id long, sha binary, text binary")
-    found = found.withColumn("digest", F.expr(f"substring(sha, 1, {digest_bytes})"))
+    in_question = wanted.count()
+    found = narrow.mapInArrow(_admitted(_scan_filter(wanted, in_question), digest_bytes), "doc_id long, digest binary, text binary")
     w = wanted.select(F.col("digest").alias("w_digest"), F.col("doc_id").alias("w_id"))
-    texts = found.join(w, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("digest", "doc_id", "text")
-    keep = hits.select(F.col("digest").alias("k_digest"), "keep_id")
-    keepers = texts.join(keep, (F.col("digest") == F.col("k_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keep_text"))
-    clashes = cut(texts.join(keepers, "digest").where(F.col("text") != F.col("keep_text")).select("digest").distinct())
+    texts = found.join(w, (F.col("digest") == F.col("w_digest")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    clashes = cut(texts.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("digest"))
     # Collisions are regrouped by whole texts; every other digest has the index's answer.
     answered = rows.join(hits, "digest", "left").join(clashes, "digest", "left_anti")
     answered = answered.select("doc_id", "sha", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
