@@ -41,6 +41,32 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class WordFeatures(dict):
+    """Word -> number; the kept features of a numbered word lie in ``flat[start[n] : start[n + 1]]``. 0: it has none."""
+
+    def __init__(self, slots: dict[int, int]):
+        super().__init__()
+        self.slots, self.found, self.ends = slots, [], [0, 0]
+        self.start, self.flat = np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        kept = [self.slots[s] for s in features_of(word) if s in self.slots]
+        number = len(self.ends) - 1 if kept else 0
+        if kept:
+            self.found += kept
+            self.ends.append(len(self.found))
+        self[word] = number
+        return number
+
+    def expand(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of each of these words, one after the other, and how many each has."""
+        if len(self.start) < len(self.ends):
+            self.start, self.flat = np.array(self.ends, dtype=np.int64), np.array(self.found, dtype=np.int64)
+        size = self.start[numbers + 1] - self.start[numbers]
+        first = np.repeat(self.start[numbers] - np.cumsum(size) + size, size)
+        return self.flat[first + np.arange(len(first))], size
+
+
 @dataclass
 class OrdinalModel:
     """slots: feature numbers; weights to them; thresholds in rising order (none: everything is grade 0)."""
@@ -48,26 +74,21 @@ class OrdinalModel:
     slots: dict[int, int]
     weights: np.ndarray
     thresholds: np.ndarray
-    cache: dict = field(default_factory=dict, repr=False, compare=False)
+    words: WordFeatures | None = field(default=None, repr=False, compare=False)
 
     def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sparse log1p counts of the kept features: text number, feature, value."""
-        rows, cols, values = [], [], []
-        slots, cache = self.slots, self.cache
-        for k, text in enumerate(texts):
-            found: Counter = Counter()
-            for word in words_of(text):
-                hit = cache.get(word, 0)
-                if hit == 0:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = hit = tuple(slots[s] for s in features_of(word) if s in slots) or None
-                if hit:
-                    found.update(hit)
-            rows += [k] * len(found)
-            cols += found.keys()
-            values += found.values()
-        return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.log1p(np.array(values, dtype=float))
+        if self.words is None or len(self.words) >= CACHE:
+            self.words = WordFeatures(self.slots)
+        hits = []
+        for text in texts:
+            numbers = np.fromiter(map(self.words.__getitem__, words_of(text)), dtype=np.int64)
+            hits.append(numbers[numbers > 0])
+        rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+        features, size = self.words.expand(np.concatenate(hits) if hits else np.zeros(0, dtype=np.int64))
+        width = max(1, len(self.slots))
+        cell, times = np.unique(np.repeat(rows, size) * width + features, return_counts=True)
+        return cell // width, cell % width, np.log1p(times)
 
     def at_least(self, n: int, sparse) -> np.ndarray:
         """P(grade >= k) for n texts, a column for each k from 1."""
