@@ -31,7 +31,8 @@ def source_targets(sized: DataFrame, share: float = 1.5, limit: float = 2.0, wei
 
     Sources in code-point order, null last, get the weights in turn and share ``share`` of all sizes. No
     target goes over ``limit`` times its source's size; the excess is shared again by weight. The level at
-    which this settles is found in one pass: sources sorted by how soon they fill up, with running sums.
+    which this settles is found in one pass: sources sorted by how soon they fill up, with running sums. That pass is
+    one task over a row a source, meant for up to some millions of sources.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source

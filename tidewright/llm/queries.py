@@ -130,15 +130,15 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, ((floor(off + place * rate) - floor(off + (place - 1) * rate)) * size)::BIGINT AS taken FROM ranked""",
     "op8_line_dedup": """
-        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
-        ), parts AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {'id': doc_id, 'text': text} AS document, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), parts AS (SELECT r, doc_id, document, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
         ), keyed AS (
           SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM parts
-        ), gone AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        ), gone AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT document) >= 10
         ), marked AS (SELECT k.*, g.key IS NOT NULL AS drop_it FROM keyed k LEFT JOIN gone g ON k.key = g.key)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop_it) AS n_dropped,
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (drop_it) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop_it), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id""",
+        FROM marked GROUP BY r""",
     "op9_chat_format": f"""
         WITH rows AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

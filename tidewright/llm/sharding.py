@@ -3,7 +3,7 @@
 Rows lie in P partitions (a hash of the id). A uniform random permutation cut into shards of given sizes sends
 a random number of rows from each partition to each shard; these counts follow a multivariate hypergeometric
 law whose row sums are the partitions' sizes and whose column sums are the shards' sizes. The matrix is drawn
-exactly; each partition is permuted locally and its rows dealt out by its row of the matrix; rows are
+from that law, to the precision of doubles; each partition is permuted locally and its rows dealt out by its row of the matrix; rows are
 exchanged; each shard is permuted again, in blocks, which gives every row its slot.
 
 Everything on rows is DataFrame functions. The driver sees P counts and draws P x S numbers; P is a constant
@@ -25,7 +25,8 @@ PARTITIONS, BLOCKS = 2048, 256
 
 
 def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Exact draws for counts of any size; numpy's own sampler stops at 10**9."""
+    """Draws for counts of any size. numpy's own sampler stops at 10**9; beyond, the law is inverted within 14 deviations
+    of its mode, outside of which less than 1e-40 of it lies, with weights in double precision."""
     large = (good >= 10**9) | (bad >= 10**9)
     out = rng.hypergeometric(np.where(large, 0, good), np.where(large, 0, bad), np.where(large, 0, draws))
     for k in np.flatnonzero(large):
