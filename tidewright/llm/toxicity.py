@@ -97,35 +97,44 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(dot[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def ordinal_loss(params: np.ndarray, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, grades: int, share: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood of the cumulative links, and its gradient.
+
+    ``params``: the weights, the first threshold, and the logs of the steps to the next ones. ``x``: row, column and
+    value of what isn't zero.
+    """
+    at_row, at_col, value = x
+    size, rows = len(params) - grades, np.arange(len(y))
+    w, first, steps = params[:size], params[size], params[size + 1 :]
+    cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
+    dot = np.bincount(at_row, w[at_col] * value, minlength=len(y))
+    s = 1 / (1 + np.exp(-np.clip(dot[:, None] - cuts[None, :], -30, 30)))
+    edge = np.concatenate([np.ones((len(y), 1)), s, np.zeros((len(y), 1))], axis=1)
+    p = np.maximum(edge[rows, y] - edge[rows, y + 1], 1e-9)
+    slope = np.concatenate([np.zeros((len(y), 1)), s * (1 - s), np.zeros((len(y), 1))], axis=1)
+    up, down = slope[rows, y] / p, slope[rows, y + 1] / p
+    g_margin = -(up - down) * share
+    g_cut = np.zeros(grades + 2)
+    np.add.at(g_cut, y, up * share)
+    np.add.at(g_cut, y + 1, -down * share)
+    tail = np.cumsum(g_cut[1:-1][::-1])[::-1]
+    grad = np.concatenate([np.bincount(at_col, g_margin[at_row] * value, minlength=size) + ridge * w, [tail[0]], tail[1:] * np.exp(steps)])
+    return float(-(share * np.log(p)).sum() + ridge / 2 * (w**2).sum()), grad
+
+
 def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by full-batch Adam on the cumulative-link likelihood; ``weight`` counts each row so often."""
     share = (np.ones(len(y)) if weight is None else weight) / max(1, len(y) if weight is None else weight.sum())
-    w, first, steps = np.zeros(x.shape[1]), 2.0, np.zeros(max(0, grades - 1))
-    params = np.concatenate([w, [first], steps])
+    size = x.shape[1]
+    params = np.concatenate([np.zeros(size), [2.0], np.zeros(max(0, grades - 1))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    rows = np.arange(len(y))
     at_row, at_col = np.nonzero(x)  # few features are in any text
-    value = x[at_row, at_col].astype(float)
+    sparse = at_row, at_col, x[at_row, at_col].astype(float)
     for t in range(1, rounds + 1):
-        w, first, steps = params[: x.shape[1]], params[x.shape[1]], params[x.shape[1] + 1 :]
-        cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
-        dot = np.bincount(at_row, w[at_col] * value, minlength=len(y))
-        s = 1 / (1 + np.exp(-np.clip(dot[:, None] - cuts[None, :], -30, 30)))
-        edge = np.concatenate([np.ones((len(y), 1)), s, np.zeros((len(y), 1))], axis=1)
-        p = np.maximum(edge[rows, y] - edge[rows, y + 1], 1e-9)
-        slope = np.concatenate([np.zeros((len(y), 1)), s * (1 - s), np.zeros((len(y), 1))], axis=1)
-        up, down = slope[rows, y] / p, slope[rows, y + 1] / p
-        g_margin = -(up - down) * share
-        g_cut = np.zeros(grades + 2)
-        np.add.at(g_cut, y, up * share)
-        np.add.at(g_cut, y + 1, -down * share)
-        g_cut = g_cut[1:-1]
-        tail = np.cumsum(g_cut[::-1])[::-1]
-        grad = np.concatenate([np.bincount(at_col, g_margin[at_row] * value, minlength=x.shape[1]) + ridge * w, [tail[0]], tail[1:] * np.exp(steps)])
+        grad = ordinal_loss(params, sparse, y, grades, share, ridge)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    w, first, steps = params[: x.shape[1]], params[x.shape[1]], params[x.shape[1] + 1 :]
-    return w, first + np.concatenate([[0.0], np.cumsum(np.exp(steps))])
+    return params[:size], params[size] + np.concatenate([[0.0], np.cumsum(np.exp(params[size + 1 :]))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = MAX_EACH, max_features: int = MAX_FEATURES) -> OrdinalModel:
