@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.windows import equal_volume_decile
+from ..functions.windows import equal_volume_deciles
 from .config import DecileGroups, Study, Window
 
 
@@ -38,10 +38,8 @@ def compute_windows(study: Study, subjects: DataFrame, facts: dict[str, DataFram
     at = anchors(subjects, study.subject, reach)
     frames = [windowed_sums(facts[m], at, study.subject, study.month, value, m, study.windows) for m in study.measures]
     out = reduce(lambda a, b: a.join(b, study.subject), frames, at)
-    for m in study.measures:
-        for w in study.decile_windows:
-            out = equal_volume_decile(out, f"{m}_{w}", study.subject, f"{m}_{w}_decile")
-    return out
+    ranked = {f"{m}_{w}": f"{m}_{w}_decile" for m in study.measures for w in study.decile_windows}
+    return equal_volume_deciles(out, ranked, study.subject) if ranked else out
 
 
 def merged_decile(column: Column | str, groups: DecileGroups, measure: str) -> Column:

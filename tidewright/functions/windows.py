@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RequestError
 from ..model import OverSubjects, OverTime
+from ..operators.materialize import cut
 from .calendar import micros
 
 #: Microseconds in a unit of time.
@@ -37,63 +38,99 @@ def over_time(spec: OverTime, subject: str, time: str) -> Column:
     raise RequestError(f"unknown derivation along time: {spec.op}")
 
 
-def over_subjects(spec: OverSubjects, subject: str, time: str) -> Column:
-    """Across the subjects of each time."""
+def bucket_of(spec: OverSubjects) -> Column:
+    """The first break that a value does not exceed; beyond all of them, and for nulls, the number of breaks."""
     v = F.col(f"`{spec.input}`")
-    at = Window.partitionBy(time)
-    if spec.op == "percent_of":
-        return F.try_divide(v.cast("double") * 100, F.sum(v).over(at))
+    if not spec.breaks:
+        return F.lit(0)
+    out = F.when(v <= spec.breaks[0], F.lit(0))
+    for i, b in enumerate(spec.breaks[1:], 1):
+        out = out.when(v <= b, F.lit(i))
+    return out.otherwise(F.lit(len(spec.breaks)))
+
+
+def over_subjects(df: DataFrame, spec: OverSubjects, subject: str, time: str, out: str) -> DataFrame:
+    """``df`` with ``out``, a function across the subjects of each time.
+
+    No task gets all subjects of a time: sums and deviations are partial aggregates joined back by time, ranks are
+    local ranks in range partitions by (time, value) with the counts of the partitions before added.
+    """
+    v = F.col(f"`{spec.input}`")
+    if spec.op == "bucket":
+        return df.withColumn(out, bucket_of(spec))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    if spec.op in ("percent_of", "z_score", "deviation"):
+        df = cut(df)  # read twice
+        stats = df.groupBy(F.col(time).alias("__time")).agg(F.sum(v).alias("__sum"), F.avg(v).alias("__mean"), F.stddev_samp(v).alias("__sd"))
+        joined = df.join(stats, F.col(time).eqNullSafe(F.col("__time")), "left")
+        made = {
+            "percent_of": lambda: F.try_divide(v.cast("double") * 100, F.col("__sum")),
+            "z_score": lambda: F.try_divide(v - F.col("__mean"), F.nullif("__sd", F.lit(0.0))),
+            "deviation": lambda: v - F.col("__mean"),
+        }
+        return joined.select(*names, made[spec.op]().alias(out))
     if spec.op == "rank":
         order = v.desc_nulls_last() if spec.descending else v.asc_nulls_last()
-        return F.when(v.isNotNull(), F.row_number().over(at.orderBy(order, subject)))
-    if spec.op == "z_score":
-        return F.try_divide(v - F.avg(v).over(at), F.nullif(F.stddev_samp(v).over(at), F.lit(0.0)))
-    if spec.op == "deviation":
-        return v - F.avg(v).over(at)
+        ran = running(df, [F.col(time), order, F.col(subject)], {"__rank": F.lit(1)}, [time])
+        return ran.select(*names, F.when(v.isNotNull(), F.col("__rank").cast("int")).alias(out))
     if spec.op == "quantile":
-        mean_rank = F.rank().over(at.orderBy(v.asc_nulls_last())) + (F.count(v).over(Window.partitionBy(time, f"`{spec.input}`")) - 1) / 2
-        return F.when(v.isNotNull(), F.ceil(mean_rank / F.count(v).over(at) * spec.n).cast("int"))
-    if spec.op == "bucket":
-        if not spec.breaks:
-            return F.lit(0)
-        out = F.when(v <= spec.breaks[0], F.lit(0))
-        for i, b in enumerate(spec.breaks[1:], 1):
-            out = out.when(v <= b, F.lit(i))
-        return out.otherwise(F.lit(len(spec.breaks)))
+        df = cut(df)  # read twice
+        tied = df.where(v.isNotNull()).groupBy(F.col(time).alias("__time"), v.alias("__v")).agg(F.count("*").alias("__n"))
+        ran = running(tied, ["__time", "__v"], {"__cum": F.col("__n")}, ["__time"])
+        mean_rank = F.col("__cum") - F.col("__n") + 1 + (F.col("__n") - 1) / 2
+        cut_at = ran.select("__time", "__v", F.ceil(mean_rank / F.col("__cum__all") * spec.n).cast("int").alias("__q"))
+        joined = df.join(cut_at, (F.col(time).eqNullSafe(F.col("__time"))) & (v == F.col("__v")), "left")
+        return joined.select(*names, F.col("__q").alias(out))
     raise RequestError(f"unknown derivation across subjects: {spec.op}")
 
 
-def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column], within: Sequence[str] = ()) -> DataFrame:
     """``df`` with running totals over one total order, as if by a window without partitions.
 
     Rows are range-partitioned by the order, summed up locally, and moved up by the totals of the partitions
     before. ``sums`` maps a new column to what it adds up; ``<name>__all`` is the grand total. The order must
-    be total (end it with a unique key).
+    be total (end it with a unique key). ``within`` names columns that the order begins with: sums then begin anew
+    for each of their values, and a value with very many rows still lies in several partitions.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumns({f"__x_{k}": c for k, c in sums.items()})
     # The partition's number is fixed with the rows, so both uses below must see the same split.
     dealt = keyed.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    from ..operators.materialize import cut
-
     dealt = cut(dealt)
-    totals = dealt.groupBy("__part").agg(*[F.sum(f"__x_{k}").alias(f"__t_{k}") for k in sums])  # a row a task
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__o_{k}") for k in sums], *[F.sum(f"__t_{k}").over(every).alias(f"{k}__all") for k in sums])
-    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({f"__s_{k}": F.sum(f"__x_{k}").over(local) for k in sums}).join(F.broadcast(offsets), "__part")
+    totals = dealt.groupBy("__part", *within).agg(*[F.sum(f"__x_{k}").alias(f"__t_{k}") for k in sums])  # a row a task, and one more a value
+    group = list(within) or [F.lit(0)]
+    ahead = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__w_{c}") for c in within], *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__o_{k}") for k in sums], *[F.sum(f"__t_{k}").over(Window.partitionBy(*group)).alias(f"{k}__all") for k in sums])
+    local = Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumns({f"__s_{k}": F.sum(f"__x_{k}").over(local) for k in sums})
+    same = F.col("__part") == F.col("__p")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"__w_{c}"))
+    out = summed.join(offsets if within else F.broadcast(offsets), same)  # without groups: one row a task
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"__s_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums], *[f"{k}__all" for k in sums])
 
 
-def equal_volume_decile(df: DataFrame, value: str, subject: str, out: str, bins: int = 10) -> DataFrame:
-    """Bins of equal total value in (value, subject) order; 0 for values of zero or less, and for nulls."""
-    positive = F.when(F.col(value) > 0, F.col(value).cast("double")).otherwise(0.0)
-    ran = running(df, [F.col(value), F.col(subject)], {"__cum": positive})
+def equal_volume_deciles(df: DataFrame, columns: dict[str, str], subject: str, bins: int = 10) -> DataFrame:
+    """``df`` with ``columns[value]`` for each value: bins of equal total value in (value, subject) order.
+
+    0 for values of zero or less, and for nulls. All columns are ranked together in long form, in one pass over one
+    range partitioning, whatever their number.
+    """
+    df = cut(df)
+    cells = F.array(*[F.struct(F.lit(v).alias("name"), F.col(f"`{v}`").cast("double").alias("v")) for v in columns])
+    long = df.select(F.col(subject).alias("__subject"), F.explode(cells).alias("c")).select("__subject", F.col("c.name").alias("__name"), F.col("c.v").alias("__v")).where("__v > 0")
+    ran = running(long, ["__name", "__v", "__subject"], {"__cum": F.col("__v")}, ["__name"])
     part = F.floor((F.col("__cum") - 1e-9) / (F.col("__cum__all") / bins)) + 1
-    decile = F.when(F.col(value) > 0, F.greatest(F.least(part, F.lit(bins)), F.lit(1))).otherwise(0)
-    return ran.select(*[F.col(f"`{c}`") for c in df.columns], decile.cast("long").alias(out))
+    placed = ran.select("__subject", "__name", F.greatest(F.least(part, F.lit(bins)), F.lit(1)).cast("long").alias("__d"))
+    wide = placed.groupBy("__subject").agg(*[F.max(F.when(F.col("__name") == v, F.col("__d"))).alias(out) for v, out in columns.items()])
+    zero = [F.coalesce(F.col(out), F.lit(0).cast("long")).alias(out) for out in columns.values()]
+    return df.join(wide, F.col(subject) == F.col("__subject"), "left").select(*[F.col(f"`{c}`") for c in df.columns], *zero)
+
+
+def equal_volume_decile(df: DataFrame, value: str, subject: str, out: str, bins: int = 10) -> DataFrame:
+    """``equal_volume_deciles`` of one column."""
+    return equal_volume_deciles(df, {value: out}, subject, bins)
 
 
 def equal_count_bin(df: DataFrame, value: str, subject: str, out: str, bins: int = 10) -> DataFrame:

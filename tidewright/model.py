@@ -280,9 +280,12 @@ class Schema:
 
         def derived(x: dict) -> Derivation:
             spec = x.get("computation", x.get("pointwise", x.get("expr")))
-            op, inputs = next(iter(spec.items()))
-            if isinstance(inputs, dict):
-                inputs = list(inputs.values())
+            spec = spec.get("pointwise", spec)
+            if "type" in spec:  # {"type": "sum", "inputs": [...]}, or two named inputs
+                op, inputs = spec["type"], spec.get("inputs") or [v for k, v in spec.items() if k != "type"]
+            else:  # {"sum": [...]}
+                op, inputs = next(iter(spec.items()))
+                inputs = list(inputs.values()) if isinstance(inputs, dict) else inputs
             kind = Kind(x["kind"].lower()) if x.get("kind") else None
             return Derivation(x["name"], Pointwise(op.lower(), tuple(inputs)), kind)
 
@@ -317,32 +320,80 @@ class TimeRange:
 
 @dataclass(frozen=True)
 class ReportInterval:
-    """Calendar buckets: unit months, weeks, days, hours, or fixed (then count is milliseconds)."""
+    """Calendar buckets: unit months, weeks, days, hours, or fixed (then count is milliseconds).
+
+    ``empty`` is what a bucket without observations holds; ``empty_from_config`` takes each measurement's own null value.
+    """
 
     unit: str
     count: int = 1
     strategy: str = "auto"
     overrides: dict = field(default_factory=dict)
     empty: Any = None
+    empty_from_config: bool = False
     stats: bool = True
 
     @property
     def approximate_ms(self) -> int:
         return {"months": 30 * 86_400_000, "weeks": 604_800_000, "days": 86_400_000, "hours": 3_600_000, "fixed": 1}[self.unit] * self.count
 
+    @classmethod
+    def from_json(cls, d: dict) -> ReportInterval:
+        """``{"bucket": {"type": "months", "count": 3}, "strategy", "aggregation_override", "empty_bucket"}``; also
+        ``{"months": 3}`` and ``{"type": "fixed", "duration_ms": 1}``."""
+        bucket = dict(d["bucket"])
+        unit = bucket.pop("type", None) or next(iter(bucket))
+        count = bucket.get("duration_ms", bucket.get("count", bucket.get(unit, 1)))
+        empty = d.get("empty_bucket") or {"type": "null"}
+        if empty.get("type") not in ("null", "from_config", "value"):
+            raise RequestError(f"unknown policy for empty buckets: {empty}")
+        overrides = {k: Aggregate(v) for k, v in (d.get("aggregation_override") or {}).items()}
+        made = cls(unit, int(count if not isinstance(count, dict) else count["duration_ms"]), d.get("strategy", "auto"), overrides, empty.get("value"), empty["type"] == "from_config")
+        made.approximate_ms  # noqa: B018  an unknown unit fails here
+        return made
+
 
 @dataclass(frozen=True)
 class SyntheticSubject:
-    """A made-up subject that aggregates over the others: for each time, or each time and quality value."""
+    """A made-up subject that aggregates over the others at each time, or at each time and value of a quality or component.
+
+    ``group_by`` names qualities, ``by_component`` a component, ``where`` holds the component values that count. A
+    name's ``{quality}``, ``{component}`` and ``{<column>}`` are filled in. With a component in play, measurements that
+    lack it are null.
+    """
 
     name: str
     default: Aggregate = Aggregate.AUTO
     rules: dict = field(default_factory=dict)
     group_by: tuple[str, ...] = ()
+    by_component: str | None = None
+    where: dict = field(default_factory=dict)
+
+    @classmethod
+    def from_json(cls, d: dict) -> SyntheticSubject:
+        by = d.get("group_by_quality") or ()
+        rules = {k: Aggregate(v) for k, v in (d.get("rules") or {}).items()}
+        return cls(d["name_pattern"], Aggregate(d.get("default_rule") or "auto"), rules, (by,) if isinstance(by, str) else tuple(by), d.get("group_by_component"), dict(d.get("component_filters") or {}))
+
+
+def _levels(d: dict | None) -> dict:
+    """Component filters of JSON: {component: {"levels": "All" | {"Include": [...]} | {"Exclude": [...]}}}."""
+    out = {}
+    for component, by in ((d or {}).get("filters", d) or {}).items():
+        levels = by.get("levels", by) if isinstance(by, dict) else by
+        if isinstance(levels, str) and levels.lower() == "all":
+            out[component] = {}
+        elif isinstance(levels, dict) and {k.lower() for k in levels} <= {"include", "exclude"}:
+            out[component] = {k.lower(): list(v) for k, v in levels.items()}
+        else:
+            raise RequestError(f"unknown filter of {component}: {by}")
+    return out
 
 
 @dataclass(frozen=True)
 class SubsetRequest:
+    """``aggregation`` replaces how a measurement is reduced over components, in reports and in synthetic subjects."""
+
     measurements: tuple[str, ...] = ()
     qualities: tuple[str, ...] = ()
     subjects: SubjectFilter | None = None
@@ -352,20 +403,30 @@ class SubsetRequest:
     interval_ms: int | None = None
     synthetic: tuple[SyntheticSubject, ...] = ()
     report: ReportInterval | None = None
+    aggregation: dict = field(default_factory=dict)
+
+    #: Fields of a JSON request; any other one but a note is an error.
+    FIELDS = ("measurements", "qualities", "subject_filter", "quality_filter", "time_range", "component_filters", "aggregation_override", "synthetic_subjects", "interval", "report_interval", "NOTE")
 
     @classmethod
     def from_json(cls, text: str | dict) -> SubsetRequest:
         d = json.loads(text) if isinstance(text, str) else dict(text)
-        if unread := [f for f in ("synthetic_subjects", "report_interval", "component_filters") if d.get(f)]:
-            raise RequestError(f"not read from JSON: {unread}")
+        if unread := [f for f in d if f not in cls.FIELDS]:
+            raise RequestError(f"not a field of a request: {unread}")
         subjects = None
         if f := d.get("subject_filter"):
             kind = f.get("type", "Include").lower()
+            if kind not in ("include", "exclude"):
+                raise RequestError(f"unknown subject filter: {f}")
             subjects = SubjectFilter(**{kind: tuple(f.get("values", ()))})
         span = d.get("time_range") or {}
         interval = d.get("interval")
         quality = {q["quality"]: list(q["values"]) for q in ([d["quality_filter"]] if d.get("quality_filter") else [])}
+        override = d.get("aggregation_override") or {}
         return cls(
-            tuple(d.get("measurements", ())), tuple(d.get("qualities", ())), subjects, quality, {},
+            tuple(d.get("measurements", ())), tuple(d.get("qualities", ())), subjects, quality, _levels(d.get("component_filters")),
             TimeRange(span.get("start"), span.get("end")) if span else None, duration_ms(interval) if interval else None,
+            tuple(SyntheticSubject.from_json(x) for x in d.get("synthetic_subjects") or ()),
+            ReportInterval.from_json(d["report_interval"]) if d.get("report_interval") else None,
+            {k: Aggregate(v) for k, v in override.get("overrides", override).items()},
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,15 +27,21 @@ def expand(grid: DataFrame, df: DataFrame, keys: Sequence[str], components: Sequ
     return grid.join(series, subject).join(df, [*keys, *components], "left")
 
 
-def stack(frames: Sequence[DataFrame], keys: Sequence[str], value: str, components: Sequence[str], how: Aggregate | str) -> DataFrame:
-    """Union of fragments. Components that some fragment lacks are crushed in the others first."""
+def stack(frames: Sequence[DataFrame], keys: Sequence[str], value: str, components: Sequence[str], how: Aggregate | str, overlap: str = "keep_all", priorities: Sequence[int] | None = None) -> DataFrame:
+    """Union of fragments. Components that some fragment lacks are crushed in the others first.
+
+    ``overlap`` settles rows that two fragments have at one key, as in ``dedup``.
+    """
     shared = [c for c in components if all(c in f.columns for f in frames)]
     parts = []
     for f in frames:
         extra = [c for c in components if c in f.columns and c not in shared]
         cut = crush(f, [*keys, *shared], {value: how}, extra) if extra else f
         parts.append(cut.select(*keys, *shared, value))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    if overlap == "keep_all":
+        return reduce(lambda a, b: a.unionByName(b), parts)
+    order = priorities or range(len(parts))
+    return dedup({str(k): p for k, p in enumerate(parts)}, [*keys, *shared], overlap, {str(k): o for k, o in enumerate(order)}, tie=value)
 
 
 def dedup(frames: dict[str, DataFrame], keys: Sequence[str], policy: str = "first_wins", priorities: dict[str, int] | None = None, tie: str | None = None, tag: str | None = None) -> DataFrame:
@@ -65,14 +72,16 @@ def filter_subjects(df: DataFrame, subject: str, by: SubjectFilter | None) -> Da
     return df.where(~F.col(subject).isin(*by.exclude)) if by.exclude else df
 
 
-def filter_time(df: DataFrame, time: str, span: TimeRange | None) -> DataFrame:
-    """start <= t < end."""
+def filter_time(df: DataFrame, time: str, span: TimeRange | None, with_end: bool = False) -> DataFrame:
+    """start <= t < end, or t <= end."""
     if span is None:
         return df
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     if span.start is not None:
         df = df.where(F.col(time) >= at(span.start))
-    return df.where(F.col(time) < at(span.end)) if span.end is not None else df
+    if span.end is None:
+        return df
+    return df.where(F.col(time) <= at(span.end) if with_end else F.col(time) < at(span.end))
 
 
 def filter_levels(df: DataFrame, filters: dict[str, dict]) -> DataFrame:
@@ -85,26 +94,24 @@ def filter_levels(df: DataFrame, filters: dict[str, dict]) -> DataFrame:
     return df
 
 
-def synthetic_rows(df: DataFrame, spec: SyntheticSubject, subject: str, time: str, values: dict[str, Aggregate]) -> DataFrame:
-    """Rows of a synthetic subject: the values of all subjects aggregated at each time [and quality value].
+def synthetic_name(spec: SyntheticSubject) -> Column:
+    """The name with its marks filled in; grouped without a mark, the group's values are put behind it."""
+    group = [*spec.group_by, *([spec.by_component] if spec.by_component else [])]
+    marks = {"{" + g + "}": g for g in group}
+    marks |= {"{quality}": spec.group_by[0]} if spec.group_by else {}
+    marks |= {"{component}": spec.by_component} if spec.by_component else {}
+    parts = [x for x in re.split("(" + "|".join(map(re.escape, marks)) + ")", spec.name) if x] if marks else [spec.name]
+    if not any(x in marks for x in parts):
+        parts += [x for g in group for x in ("_", "{" + g + "}")]
+    return F.concat(*[F.col(marks[x]).cast("string") if x in marks else F.lit(x) for x in parts])
 
-    A name with ``{quality}`` is filled in with that quality's value; otherwise values are put behind the name.
-    """
-    group = list(spec.group_by)
+
+def synthetic_rows(df: DataFrame, spec: SyntheticSubject, subject: str, time: str, values: dict[str, Aggregate]) -> DataFrame:
+    """Rows of a synthetic subject: the values of all subjects aggregated at each time [and value of a quality or component]."""
+    group = [*spec.group_by, *([spec.by_component] if spec.by_component else [])]
     how = lambda v, d: spec.rules.get(v, d if spec.default is Aggregate.AUTO else spec.default)
     rows = df.groupBy(time, *group).agg(*[aggregate(v, how(v, d), F.col(subject)).alias(v) for v, d in values.items()])
-    name: Column = F.lit(spec.name)
-    if group:
-        parts, rest, marked = [], spec.name, False
-        for g in group:
-            head, mark, rest = rest.partition("{" + g + "}")
-            parts.append(F.lit(head))
-            if mark:
-                marked = True
-                parts.append(F.col(g).cast("string"))
-        parts.append(F.lit(rest))
-        name = F.concat(*parts) if marked else F.concat(F.lit(spec.name), *[F.concat(F.lit("_"), F.col(g).cast("string")) for g in group])
-    return rows.withColumn(subject, name)
+    return rows.withColumn(subject, synthetic_name(spec))
 
 
 def add_synthetic(df: DataFrame, specs: Sequence[SyntheticSubject], subject: str, time: str, values: dict[str, Aggregate]) -> DataFrame:
