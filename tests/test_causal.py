@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.causal import cohort, models
-from tidewright.causal.config import Campaign, Points, Study, VolumeGate, Window
+from tidewright.causal import cohort, matching, models
+from tidewright.causal.config import Autotune, Campaign, Points, Study, VolumeGate, Window
 from tidewright.causal.pipeline import Raw
 from tidewright.errors import ConfigError
 from tidewright.functions import windows as W
@@ -91,13 +91,56 @@ def test_the_study_recovers_a_lift(spark, tmp_path):
     fit = done.fits[0]
     assert fit.skipped is None and fit.n > 200 and fit.t[1] > 5
     assert 35 < 100 * fit.beta[1] / fit.stats["control_mean"] < 65
-    done.export(str(tmp_path / "out"))
+    done.export(str(tmp_path / "out"), configs={"campaign.toml": "[campaign]\ntargets = 300\n"})
     names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert {"subjects.csv", "windows.csv", "matches.csv", "timeseries.csv", "summary.json", "ancova.json", "config.json"} <= names
+    assert {"subjects.csv", "windows.csv", "matches.csv", "timeseries.csv", "summary.json", "ancova.json", "config.json", "target_list.csv", "cfg-parsed.json", "campaign.toml"} <= names
     with pytest.raises(ConfigError):
         cohort.require_inputs(Study(min_reached=10**6), who, "reached")
 
 
+def slow_matches(study, rows):
+    """Every pair of a pool, one by one."""
+    near = lambda a, b, d: a is not None and b is not None and abs(a - b) <= d
+    out, sizes = {}, {}
+    for t in (r for r in rows if r["reached"]):
+        pool = [c for c in rows if not c["reached"] and c["seg"] is not None and c["seg"] == t["seg"] and near(t["a_decile"], c["a_decile"], 1)]
+        if not pool:
+            continue
+        points = {c["id"]: 0.0 for c in pool}
+        for p in study.points:
+            gaps = {c["id"]: abs(t[p.column] - c[p.column]) for c in pool if t[p.column] is not None and c[p.column] is not None}
+            for i, g in gaps.items():
+                points[i] += p.points * (g <= min(gaps.values()) + 1e-9)
+        best = max(points.values())
+        out[t["id"]], sizes[t["id"]] = (min(i for i, x in points.items() if x == best), best), len(pool)
+    return out, sizes
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_matches_equal_all_pairs(spark, seed):
+    """Ties, values a rounding error apart, nulls, and one cell with most rows."""
+    rng = np.random.default_rng(seed)
+    pick = lambda: None if rng.random() < 0.1 else float(rng.choice([0, 0, 0, 1, 1 + 4e-10, 2.5, -3, 1e6, 1e6 + 1e-4, round(rng.random() * 10, 2)]))
+    rows = [{"id": k, "reached": int(rng.random() < 0.3), "seg": None if rng.random() < 0.05 else str(rng.choice(["x", "x", "x", "y", "z"])), "a_decile": None if rng.random() < 0.05 else int(rng.integers(0, 4)), "a_one": pick(), "a_two": pick(), "b_one": pick()} for k in range(150)]
+    study = Study(subject="id", measures=("a", "b"), gates=("seg",), volume_gates=(VolumeGate("a_decile", 1),), points=(Points("a_one", 2), Points("a_two", 1), Points("b_one", 1)))
+    df = spark.createDataFrame(rows, "id int, reached int, seg string, a_decile int, a_one double, a_two double, b_one double").repartition(5)
+    want, sizes = slow_matches(study, rows)
+    matches, pools = matching.match_controls(study, df)
+    assert {r["test_id"]: (r["control_id"], r["points"]) for r in matches.collect()} == want
+    assert {r["test_id"]: r["pool"] for r in pools.collect()} == sizes
+    pairs = matching.micropools(study, df.where("reached = 1"), df.where("reached = 0"))
+    assert {r["test_id"]: r["count"] for r in pairs.groupBy("test_id").count().collect()} == sizes
+    assert matching.match_controls(study, df.limit(0))[0].count() == 0
+
+
+def test_gates_are_relaxed_until_enough_match(spark):
+    df = spark.createDataFrame([(k, int(k < 10), "x", k % 10 if k < 10 else 0) for k in range(20)], "id int, reached int, seg string, a_decile int")
+    tuned = lambda target, most: matching.autotuned(Study(subject="id", gates=("seg",), volume_gates=(VolumeGate("a_decile", 0),), autotune=Autotune(target, (VolumeGate("a_decile", most),))), df).volume_gates[0].distance
+    assert tuned(0.1, 9) == 0 and tuned(0.5, 9) == 4 and tuned(1.0, 3) == 3
+    with pytest.raises(ConfigError):
+        matching.autotuned(Study(subject="id", gates=("seg",), autotune=Autotune(1.0, (VolumeGate("nope", 1),))), df)
+
+
 def test_toml_configuration(tmp_path):
     from tidewright.causal.config import load
 

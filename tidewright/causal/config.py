@@ -69,6 +69,14 @@ class Points:
     points: float = 1.0
 
 
+@dataclass(frozen=True)
+class Autotune:
+    """Relax volume gates, in this order and up to these distances, until ``target`` of the eligible tests have a candidate."""
+
+    target: float = 0.0
+    steps: tuple[VolumeGate, ...] = ()
+
+
 @dataclass(frozen=True)
 class Study:
     subject: str = "npi"
@@ -83,6 +91,7 @@ class Study:
     gates: tuple[str, ...] = ()
     propensity_gate: bool = False
     volume_gates: tuple[VolumeGate, ...] = ()
+    autotune: Autotune | None = None
     points: tuple[Points, ...] = ()
     eligible: tuple[str, ...] = ()
     placebo: tuple[str, ...] = ()
@@ -140,6 +149,8 @@ def load(schema_path: str, campaign_path: str, study_path: str) -> tuple[dict, C
         s["windows"] = tuple(Window(**w) for w in s["windows"])
     if "volume_gates" in s:
         s["volume_gates"] = tuple(VolumeGate(**g) for g in s["volume_gates"])
+    if "autotune" in s:
+        s["autotune"] = Autotune(s["autotune"].get("target", 0.0), tuple(VolumeGate(**g) for g in s["autotune"].get("steps", ())))
     if "points" in s:
         s["points"] = tuple(Points(**p) for p in s["points"])
     if "groups" in s:

@@ -2,56 +2,122 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..operators.materialize import cut
 from .cohort import merged_decile
-from .config import Study
+from .config import Study, VolumeGate
 
 
 def measure_of(column: str) -> str:
     return column.split("_", 1)[0]
 
 
+def _cells(study: Study, df: DataFrame, columns: Sequence[Column], spread: bool, propensity: str = "propensity_decile") -> tuple[DataFrame, list[str]]:
+    """``columns`` with the gates' keys ``__e*`` and ``__g*``; rows without a key match nobody and go.
+
+    A volume gate of distance 0 is a key like the others. One of distance k is one too: with ``spread`` a row is
+    repeated for the 2k + 1 buckets that it accepts, so joins stay equi joins and skew can be split.
+    """
+    equal = [*study.gates, *([propensity] if study.propensity_gate else [])]
+    if not equal and not study.volume_gates:
+        raise ConfigError("matching needs at least one gate")
+    bucket = lambda g: merged_decile(g.column, study.groups, measure_of(g.column)).cast("long")
+    keys = [f"__e{k}" for k in range(len(equal))] + [f"__g{k}" for k in range(len(study.volume_gates))]
+    out = df.select(*columns, *[F.col(c).alias(f"__e{k}") for k, c in enumerate(equal)], *[bucket(g).alias(f"__g{k}") for k, g in enumerate(study.volume_gates)])
+    for k, g in enumerate(study.volume_gates):
+        if spread and g.distance:
+            out = out.withColumn(f"__g{k}", F.explode(F.sequence(F.col(f"__g{k}") - g.distance, F.col(f"__g{k}") + g.distance)))
+    return out.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])), keys
+
+
 def micropools(study: Study, tests: DataFrame, controls: DataFrame, propensity: str = "propensity_decile") -> DataFrame:
-    """(test, control) candidates: equal categorical gates [and propensity decile], merged deciles near enough.
+    """All (test, control) candidates: equal categorical gates [and propensity decile], merged deciles near enough.
 
-    A volume gate of distance 0 is a join key like the others. One of distance k is one too: the test side is
-    repeated for the 2k + 1 buckets that it accepts, so the join stays an equi join and skew can be split.
+    The pairs themselves, for whoever wants to see them; matching and pool sizes work without.
     """
     equal = [*study.gates, *([propensity] if study.propensity_gate else [])]
     used = sorted({p.column for p in study.points})
-    bucket = lambda g: merged_decile(g.column, study.groups, measure_of(g.column)).cast("long")
+    named = lambda side: [F.col(study.subject).alias(f"{side}_{study.subject}"), *[F.col(c).alias(f"{side}_{c}") for c in used]]
+    left, keys = _cells(study, tests, [*named("test"), *equal], True, propensity)
+    right, _ = _cells(study, controls, named("control"), False, propensity)
+    return left.join(right, keys).drop(*keys)
 
-    def side(df: DataFrame, name: str, spread: bool) -> DataFrame:
-        out = df.select(F.col(study.subject).alias(f"{name}_{study.subject}"), *equal, *[bucket(g).alias(f"__g{k}") for k, g in enumerate(study.volume_gates)], *[F.col(c).alias(f"{name}_{c}") for c in used])
-        for k, g in enumerate(study.volume_gates):
-            if spread and g.distance:
-                out = out.withColumn(f"__g{k}", F.explode(F.sequence(F.col(f"__g{k}") - g.distance, F.col(f"__g{k}") + g.distance)))
-        return out
 
-    keys = [*equal, *[f"__g{k}" for k in range(len(study.volume_gates))]]
-    if not keys:
-        raise ConfigError("matching needs at least one gate")
-    return side(tests, "test", True).join(side(controls, "control", False), keys).drop(*[k for k in keys if k.startswith("__g")])
+def pool_sizes(study: Study, tests: DataFrame, controls: DataFrame, propensity: str = "propensity_decile") -> DataFrame:
+    """``(test, pool)``: candidates of each test that has any, from counts of controls by cell."""
+    test = f"test_{study.subject}"
+    left, keys = _cells(study, tests, [F.col(study.subject).alias(test)], True, propensity)
+    right, _ = _cells(study, controls, [], False, propensity)
+    return left.join(right.groupBy(*keys).agg(F.count("*").alias("__n")), keys).groupBy(test).agg(F.sum("__n").alias("pool"))
 
 
-def best_matches(study: Study, pools: DataFrame) -> DataFrame:
+#: Distances this far apart count as equal, and the width of the cells by which values this near are found.
+TIE, GRID = 1e-9, 1e-6
+
+
+def _neighbours(rows: DataFrame, within: list[str]) -> DataFrame:
+    """``rows`` (within, v, test; a control's row has no test) of tests, with the control values next to theirs: ``pred``, ``succ``.
+
+    Range partitions in the order of the values, so a crowded cell lies in several tasks; values at the edges of
+    partitions are carried on by a table of a row a task and cell.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.withColumn("cv", F.when(F.col("test").isNull(), F.col("v"))).repartitionByRange(n, *within, "v", "test").withColumn("part", F.spark_partition_id()))
+    up, down = (Window.partitionBy("part", *within).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ([F.col("v"), F.col("test").asc_nulls_first()], [F.col("v").desc(), F.col("test").asc_nulls_first()]))
+    edges = dealt.groupBy("part", *within).agg(F.min("cv").alias("lo"), F.max("cv").alias("hi"))
+    before, after = (Window.partitionBy(*within).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("part"), F.col("part").desc()))
+    edges = edges.select("part", *within, F.max("hi").over(before).alias("below"), F.min("lo").over(after).alias("above"))
+    found = dealt.withColumns({"p": F.last("cv", ignorenulls=True).over(up), "s": F.last("cv", ignorenulls=True).over(down)}).where(F.col("test").isNotNull())
+    return found.join(edges, ["part", *within]).select(*within, "v", "test", F.coalesce("p", "below").alias("pred"), F.coalesce("s", "above").alias("succ"))
+
+
+def best_matches(study: Study, tests: DataFrame, controls: DataFrame, propensity: str = "propensity_decile") -> DataFrame:
     """``(test, control, points)``: for each test the control with most points, the smallest id on ties.
 
-    For each scored column, the pool's nearest control or controls (within 1e-9) earn its points. Distances are
-    reduced to a test's minimum by aggregation, so a large pool is never gathered in one place.
+    For each scored column, the nearest control or controls (within 1e-9) of the test's pool earn its points. No pairs
+    are formed to find them: a test's values are placed among the control values of its cells, which gives those next
+    to it; only controls at the smallest distance are looked up. Controls of a cell with the same scored values count
+    as one, the smallest id. A test whose pool earns no points takes the smallest id.
     """
     test, control = f"test_{study.subject}", f"control_{study.subject}"
-    gaps = pools.select(test, control, *[F.abs(F.col(f"test_{p.column}") - F.col(f"control_{p.column}")).alias(f"__d{k}") for k, p in enumerate(study.points)])
-    nearest = gaps.groupBy(test).agg(F.count("*").alias("__pool"), *[F.min(f"__d{k}").alias(f"__m{k}") for k in range(len(study.points))])
-    won = [F.when(F.abs(F.col(f"__d{k}") - F.col(f"__m{k}")) <= 1e-9, F.lit(float(p.points))).otherwise(0.0) for k, p in enumerate(study.points)]
-    scored = gaps.join(nearest, test).select(test, control, reduce(lambda a, b: a + b, won, F.lit(0.0)).alias("points"))
-    best = scored.groupBy(test).agg(F.min(F.struct((-F.col("points")).alias("loss"), F.col(control).alias("control"))).alias("b"))
-    return best.select(test, F.col("b.control").alias(control), (-F.col("b.loss")).alias("points"))
+    if any(p.points < 0 for p in study.points):
+        raise ConfigError("points can't be negative")
+    values = lambda: F.array(*[F.struct(F.lit(k).alias("k"), F.col(p.column).cast("double").alias("v")) for k, p in enumerate(study.points)])
+    left, keys = _cells(study, tests, [F.col(study.subject).alias("test"), *([values().alias("vs")] if study.points else [])], True, propensity)
+    right, _ = _cells(study, controls, [F.col(study.subject).alias("control"), *([values().alias("vs")] if study.points else [])], False, propensity)
+    first = right.groupBy(*keys).agg(F.min("control").alias("control"))
+    scored = left.join(first, keys).select("test", "control", F.lit(0.0).alias("points"))
+    if study.points:
+        within = [*keys, "k"]
+        long = lambda df, who: df.select(*keys, *who, F.explode("vs").alias("x")).select(*keys, *who, "x.k", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+        left = cut(left)
+        vectors = cut(right.groupBy(*keys, "vs").agg(F.min("control").alias("control")))
+        held = long(vectors, ["control"])
+        marks = long(left, ["test"])
+        kind = marks.schema["test"].dataType
+        placed = _neighbours(marks.select(*within, "v", "test").unionByName(held.select(*within, "v").distinct().withColumn("test", F.lit(None).cast(kind))), within)
+        # least() skips nulls: a test with controls on one side only has that distance.
+        gap = F.least(F.abs(F.col("v") - F.col("pred")), F.abs(F.col("succ") - F.col("v")))
+        placed = cut(placed.withColumn("gap", gap).where(F.col("gap").isNotNull()))
+        least = placed.groupBy("test", "k").agg(F.min("gap").alias("least"))
+        near = placed.join(least, ["test", "k"]).where(F.col("gap") <= F.col("least") + TIE)
+        edges = [F.floor((F.col("v") + sign * F.col("least") + shift) / GRID).cast("long") for sign in (-1, 1) for shift in (-TIE, TIE)]
+        wanted = near.select(*within, "test", "v", "least", F.explode(F.array_distinct(F.array(*edges))).alias("cell"))
+        by_cell = held.select(*within, F.col("v").alias("cv"), "control", F.floor(F.col("v") / GRID).cast("long").alias("cell"))
+        hit = F.abs(F.abs(F.col("v") - F.col("cv")) - F.col("least")) <= TIE
+        won = wanted.join(by_cell, [*within, "cell"]).where(hit)
+        worth = F.element_at(F.array(*[F.lit(float(p.points)) for p in study.points]), F.col("k") + 1)
+        scored = scored.unionByName(won.select("test", "control", worth.alias("points")))
+    total = scored.groupBy("test", "control").agg(F.sum("points").alias("points"))
+    best = total.groupBy("test").agg(F.min(F.struct((-F.col("points")).alias("loss"), F.col("control"))).alias("b"))
+    return best.select(F.col("test").alias(test), F.col("b.control").alias(control), (-F.col("b.loss")).alias("points"))
 
 
 def eligible(study: Study, df: DataFrame) -> DataFrame:
@@ -62,16 +128,40 @@ def eligible(study: Study, df: DataFrame) -> DataFrame:
 
 
 def match_controls(study: Study, df: DataFrame, reached: str = "reached") -> tuple[DataFrame, DataFrame]:
-    """(matches, pools) of the eligible subjects."""
+    """(matches, pool sizes) of the eligible subjects."""
     ok = eligible(study, df)
-    pools = micropools(study, ok.where(F.col(reached) == 1), ok.where(F.col(reached) == 0))
-    return best_matches(study, pools), pools
-
-
-def match_counts(study: Study, tests: DataFrame, matches: DataFrame, pools: DataFrame, decile: str) -> DataFrame:
+    tests, controls = ok.where(F.col(reached) == 1), ok.where(F.col(reached) == 0)
+    return best_matches(study, tests, controls), pool_sizes(study, tests, controls)
+
+
+def autotuned(study: Study, df: DataFrame, reached: str = "reached") -> Study:
+    """The study with its volume gates relaxed, one decile of one gate at a time in the order of the schedule, until
+    the share of eligible tests with any candidate reaches the target or the schedule is through."""
+    if not study.autotune or not study.autotune.steps:
+        return study
+    ok = cut(eligible(study, df))
+    tests, controls = ok.where(F.col(reached) == 1), ok.where(F.col(reached) == 0)
+    n = tests.count()
+
+    def enough(s: Study) -> bool:
+        return n == 0 or pool_sizes(s, tests, controls).count() / n >= study.autotune.target
+
+    distance = {g.column: g.distance for g in study.volume_gates}
+    current = study
+    for step in study.autotune.steps:
+        if step.column not in distance:
+            raise ConfigError(f"autotune relaxes {step.column}, which is no volume gate")
+        while distance[step.column] < step.distance:
+            if enough(current):
+                return current
+            distance[step.column] += 1
+            current = replace(study, volume_gates=tuple(VolumeGate(c, d) for c, d in distance.items()))
+    return current
+
+
+def match_counts(study: Study, tests: DataFrame, matches: DataFrame, sizes: DataFrame, decile: str) -> DataFrame:
     """By decile: tests tried, tests matched, and mean pool size."""
     key = f"test_{study.subject}"
-    sizes = pools.groupBy(key).agg(F.count("*").alias("pool"))
     rows = tests.select(F.col(study.subject).alias(key), decile).join(sizes, key, "left").join(matches.select(key, F.lit(1).alias("hit")), key, "left")
     return rows.groupBy(decile).agg(F.count("*").alias("attempts"), F.count("hit").alias("matched"), F.coalesce(F.avg("pool"), F.lit(0.0)).alias("mean_pool"))
 

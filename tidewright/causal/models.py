@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,44 +52,52 @@ class Logistic:
         return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
-#: Feature rows that are fitted on the driver, at most; more are fitted by an aggregate a round.
+#: Feature rows that are fitted on the driver, at most; more are fitted by a pass over their blocks each round.
 DRIVER_ROWS = 100_000
 
 
+def _step(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: their number, the loss, and the gradient."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+    safe = np.clip(p, 1e-15, 1 - 1e-15)
+    return np.concatenate([[len(y), -(y * np.log(safe) + (1 - y) * np.log(1 - safe)).sum()], x.T @ (p - y)])
+
+
 def fit_logistic(df: DataFrame, label: str, features: list[tuple[str, Column]], rate: float = 0.1, rounds: int = 200, tolerance: float = 1e-6, driver_rows: int = DRIVER_ROWS) -> Logistic:
     """Full-batch gradient descent from zero weights, the bias last; stops when the cost moves less than ``tolerance``.
 
-    Up to ``driver_rows`` rows of features come to the driver. Beyond that each round is one aggregate over the
-    checkpointed rows, which returns a gradient of as many numbers as features. Both take the same steps.
+    Up to ``driver_rows`` rows of features come to the driver. Beyond that each round is one Arrow pass over the
+    checkpointed rows, which sums up a block at a time and returns a row a task; weights travel as data, so the plan of
+    a round is never compiled anew. Both take the same steps.
     """
     names, columns = [n for n, _ in features], [c for _, c in features]
-    rows = cut(df.select(F.col(label).cast("double").alias("y"), F.array(*columns, F.lit(1.0)).alias("x")))
     size = len(columns) + 1
-    if rows.limit(driver_rows + 1).count() <= driver_rows:
-        got = rows.toPandas()
-        y, x = got["y"].to_numpy(dtype=float), np.array(got["x"].tolist(), dtype=float).reshape(-1, size)
+    rows = cut(df.select(F.col(label).cast("double").alias("y"), F.array(*columns, F.lit(1.0)).alias("x")))
+
+    def arrays(y: pa.Array, x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, size), y.to_numpy(zero_copy_only=False)
 
-        def step(w: np.ndarray) -> tuple[float | None, np.ndarray]:
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
-            safe = np.clip(p, 1e-15, 1 - 1e-15)
-            return float(-(y * np.log(safe) + (1 - y) * np.log(1 - safe)).mean()) if len(y) else None, x.T @ (p - y) / max(1, len(y))
+    if rows.limit(driver_rows + 1).count() <= driver_rows:
+        got = rows.toArrow().combine_chunks()
+        held = arrays(got.column(0).combine_chunks(), got.column(1).combine_chunks()) if len(got) else (np.zeros((0, size)), np.zeros(0))
+        total = lambda w: _step(*held, w)
     else:
 
-        def step(w: np.ndarray) -> tuple[float | None, np.ndarray]:
-            z = sum((F.lit(float(v)) * F.col("x")[i] for i, v in enumerate(w)), F.lit(0.0))
-            p = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
-            safe = F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15))
-            loss = -(F.col("y") * F.log(safe) + (1 - F.col("y")) * F.log(1 - safe))
-            scored = rows.select("x", (p - F.col("y")).alias("d"), loss.alias("loss"))
-            row = scored.agg(F.avg("loss"), *[F.avg(F.col("d") * F.col("x")[i]) for i in range(size)]).first()
-            return row[0], np.array([v or 0.0 for v in row[1:]], dtype=float)
+        def total(w: np.ndarray) -> np.ndarray:
+            def run(batches):
+                sums = np.zeros(size + 2)
+                for batch in batches:
+                    sums += _step(*arrays(batch.column(0), batch.column(1)), w)
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+            return np.sum([r[0] for r in rows.mapInArrow(run, "sums array<double>").collect()], axis=0)  # a row a task
 
     w, before, cost, k = np.zeros(size), None, float("nan"), 0
     for k in range(1, rounds + 1):
-        now, gradient = step(w)
-        if now is None:
+        n, loss, *gradient = total(w)
+        if not n:
             break
-        cost, w = now, w - rate * gradient
+        cost, w = loss / n, w - rate * np.array(gradient) / n
         if before is not None and abs(before - cost) < tolerance:
             break
         before = cost

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +52,13 @@ class Scored:
     model: models.Logistic
 
     def matched(self) -> Matched:
-        matches, pools = matching.match_controls(self.study, self.rows)
+        """Pairs under the study's gates, relaxed first where the study says so."""
+        study = matching.autotuned(self.study, self.rows)
+        matches, sizes = matching.match_controls(study, self.rows)
         matches = cut(matches)
         if matches.isEmpty():
             raise ConfigError("no test found a control; the gates may be too strict")
-        return Matched(self.study, self, matches, pools)
+        return Matched(study, self, matches, sizes)
 
 
 @dataclass
@@ -64,7 +66,7 @@ class Matched:
     study: Study
     before: Scored
     matches: DataFrame
-    pools: DataFrame
+    sizes: DataFrame
 
     def pairs(self) -> DataFrame:
         return matching.pair_rows(self.study, self.matches, self.before.rows)
@@ -85,10 +87,19 @@ class Estimated:
     before: Matched
     fits: list[models.Fit]
 
-    def export(self, folder: str) -> None:
+    def export(self, folder: str, first_month: tuple[int, int] = (2024, 1), configs: dict[str, str] | None = None) -> None:
+        """All tables, the summary, the fits and the configuration; ``configs`` maps a file's name to its text, of which a copy is kept."""
         s, matched = self.study, self.before
-        rows = matched.before.rows
+        rows, wide = matched.before.rows, matched.before.before.wide
+        who = matched.before.before.subjects
         groups = reports.group_labels(matched.matches, s.subject)
-        funnel = reports.waterfall(rows, matched.matches, s.subject).first().asDict()
-        frames = {"subjects": rows.select(*[c for c in rows.columns if not c.startswith(tuple(f"{m}_" for m in s.measures))]), "windows": matched.before.before.wide, "matches": matched.matches, "timeseries": reports.time_series(matched.before.before.facts, groups, s.subject, s.month)}
-        reports.export(folder, frames, funnel, {"subject": s.subject, "measures": list(s.measures), "outcomes": list(s.outcomes)}, self.fits)
+        planned = next((c for c in ("planned_reach_month", "reach_month") if c in who.columns), None)
+        counts = reports.waterfall(rows, matched.matches, s.subject).first().asDict()
+        frames = {
+            "subjects": rows.select(*[c for c in rows.columns if not c.startswith(tuple(f"{m}_" for m in s.measures))]),
+            "windows": wide, "matches": matched.matches,
+            "timeseries": reports.time_series(matched.before.before.facts, groups, s.subject, s.month),
+        }
+        if planned:
+            frames["target_list"] = reports.target_list(who, s.subject, planned, *first_month, tuple(c for c in s.categorical if c in who.columns))
+        reports.export(folder, frames, counts, asdict(s), self.fits, configs)

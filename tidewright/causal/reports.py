@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import tomllib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import index_to_month
 from ..functions.windows import histogram_bin
+from ..operators.materialize import write_text
 from ..sources.bind import write
 
 
@@ -86,13 +87,16 @@ def target_list(subjects: DataFrame, subject: str, reach: str, first_year: int,
     return subjects.where(F.col(reach).isNotNull()).select(subject, *columns, index_to_month(reach, first_year, first_month).alias("planned_reach_date"))
 
 
-def export(folder: str, frames: dict[str, DataFrame], summary: dict, config: dict | None = None, fits: list | None = None) -> None:
-    """CSV tables, and JSON for the summary, the fits and the configuration. JSON goes to a driver's path."""
+def export(folder: str, frames: dict[str, DataFrame], summary: dict, config: dict | None = None, fits: list | None = None, configs: dict[str, str] | None = None) -> None:
+    """CSV tables; JSON for the summary, the fits and the parsed configuration; copies of the configuration's files.
+
+    Everything goes through Spark's file systems, so that ``folder`` may lie in any store.
+    """
+    spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
         write(df, f"{folder}/{name}.csv", "csv")
-    Path(folder).mkdir(parents=True, exist_ok=True)
     rows = [{"outcome": f.outcome, "n": f.n, "skipped": f.skipped, **f.stats, "terms": [] if f.beta is None else [{"name": n, "beta": float(b), "se": float(s), "t": float(b / s) if s else None} for n, b, s in zip(f.names, f.beta, f.se)]} for f in fits or []]
-    for name, content in (("summary", summary), ("ancova", rows), ("config", config or {})):
-        Path(folder, f"{name}.json").write_text(json.dumps(content, indent=2, default=str), encoding="utf-8")
-
-
+    for name, content in (("summary", summary), ("ancova", rows), ("config", config or {}), ("cfg-parsed", {n: tomllib.loads(t) for n, t in (configs or {}).items() if n.endswith(".toml")})):
+        write_text(spark, f"{folder}/{name}.json", json.dumps(content, indent=2, default=str))
+    for name, text in (configs or {}).items():
+        write_text(spark, f"{folder}/{name}", text)

@@ -131,6 +131,7 @@ def resample_wide(df: DataFrame, time: str, values: dict[str, Upsample | Downsam
     spans = df.groupBy(*keys).agg(F.min(time).alias("__low"), F.max(time).alias("__high"))
     both = explode_cells(spans, "__low", "__high", rate_ms, time).join(df.select(*keys, time, *values), [*keys, time], "full")
     w = Window.partitionBy(*keys).orderBy(time)
+    back = Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
     def filled(value: str, how: Upsample) -> Column:
         if how is Upsample.NULL:
@@ -139,7 +140,7 @@ def resample_wide(df: DataFrame, time: str, values: dict[str, Upsample | Downsam
         before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         if how is Upsample.FORWARD_FILL:
             return before["v"]
-        after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        after = F.last(known, ignorenulls=True).over(back)  # the next one: a frame that looks ahead is read again for each row
         slope = (after["v"] - before["v"]) * (micros(time) - before["m"]) / (after["m"] - before["m"])
         return F.when(before["m"] == after["m"], before["v"].cast("double")).otherwise(before["v"] + slope)
 

@@ -144,13 +144,13 @@ _MATCH = _POOLS + """, q AS (SELECT *, min(d0) OVER x AS m0, min(d1) OVER x AS m
 
 def matched(spark: SparkSession, sf: str):
     rows = cut(wide(spark, sf))
-    matches, pools = matching.match_controls(STUDY, rows)
-    return rows, matches, pools
+    matches, sizes = matching.match_controls(STUDY, rows)
+    return rows, matches, sizes
 
 
 @query(_POOLS + " SELECT test_c_custkey, count(*) AS pool FROM p GROUP BY 1")
 def micropool_gates(spark, sf):
-    return matched(spark, sf)[2].groupBy("test_c_custkey").agg(F.count("*").alias("pool"))
+    return matched(spark, sf)[2]
 
 
 @query(_MATCH + " SELECT test_c_custkey, control_c_custkey, points FROM b")
@@ -162,9 +162,9 @@ def match_best_points(spark, sf):
     SELECT spend_L12M_decile, count(*) AS attempts, count(b.test_c_custkey) AS matched, round(coalesce(avg(pool), 0), 6) AS mean_pool
     FROM e LEFT JOIN z ON z.test_c_custkey = c_custkey LEFT JOIN b ON b.test_c_custkey = c_custkey WHERE reached = 1 GROUP BY 1""")
 def match_counts_by_decile(spark, sf):
-    rows, matches, pools = matched(spark, sf)
+    rows, matches, sizes = matched(spark, sf)
     tests = matching.eligible(STUDY, rows).where("reached = 1")
-    return rounded(matching.match_counts(STUDY, tests, matches, pools, "spend_L12M_decile"))
+    return rounded(matching.match_counts(STUDY, tests, matches, sizes, "spend_L12M_decile"))
 
 
 _PAIRS = _MATCH + ", o AS (SELECT test_c_custkey AS c_custkey, 1 AS treatment FROM b UNION ALL SELECT control_c_custkey, 0 FROM b), pr AS (SELECT o.treatment, w.* FROM o JOIN w USING (c_custkey))"
