@@ -140,10 +140,9 @@ class Campaign:
         return self
 
 
-def load(schema_path: str, campaign_path: str, study_path: str) -> tuple[dict, Campaign, Study]:
-    """The three files of a run: generator schema, campaign, study."""
-    read = lambda p: tomllib.loads(Path(p).read_text(encoding="utf-8"))
-    schema, campaign, study = read(schema_path), read(campaign_path), read(study_path)
+def parse(schema_text: str, campaign_text: str, study_text: str) -> tuple[dict, Campaign, Study]:
+    """Generator schema, campaign and study from TOML."""
+    schema, campaign, study = (tomllib.loads(t) for t in (schema_text, campaign_text, study_text))
     s = dict(study.get("study", study))
     if "windows" in s:
         s["windows"] = tuple(Window(**w) for w in s["windows"])
@@ -159,3 +158,8 @@ def load(schema_path: str, campaign_path: str, study_path: str) -> tuple[dict, C
         s["groups"] = DecileGroups(tuples(g.get("default", ())), {k: tuples(v) for k, v in g.get("overrides", {}).items()})
     s = {k: tuple(v) if isinstance(v, list) else v for k, v in s.items()}
     return schema, Campaign(**campaign.get("campaign", campaign)).validated(), Study(**s).validated()
+
+
+def load(schema_path: str, campaign_path: str, study_path: str) -> tuple[dict, Campaign, Study]:
+    """The three files of a run."""
+    return parse(*(Path(p).read_text(encoding="utf-8") for p in (schema_path, campaign_path, study_path)))

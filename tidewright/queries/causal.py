@@ -14,7 +14,6 @@ from ..functions import calendar as C
 from ..functions import windows as W
 from ..operators.materialize import cut
 from ..sources import generate as G
-from .timeseries import QUERIES as _OTHERS
 from .timeseries import rounded, table
 
 QUERIES: dict = {}
@@ -286,16 +285,55 @@ def propensity_fit_scores(spark, sf):
     return models.attach_bins(scored, "propensity_score", "c_custkey", "propensity_decile")
 
 
+_STEPS, _X = 20, [*(f"x{k}" for k in range(7))]
+_DOT = " + ".join(f"w{k} * x{k}" for k in range(7))
+
+
+def _z_sql(column: str) -> str:
+    return f"({column} - avg({column}) OVER ()) / greatest(stddev_pop({column}) OVER (), 1e-9::DOUBLE)"
+
+
+_FEATURES = "x AS (SELECT c_custkey, reached::DOUBLE AS y, " + ", ".join(f"(c_mktsegment = '{v}')::DOUBLE AS x{k}" for k, v in enumerate(("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))) + f", {_z_sql('spend_L12M')} AS x4, {_z_sql('open_L12M')} AS x5, 1.0::DOUBLE AS x6 FROM w)"
+
+
+@query(_W.replace("WITH", "WITH RECURSIVE", 1) + f""", {_FEATURES}, r AS (SELECT 0 AS it, {", ".join(f"0.0::DOUBLE AS w{k}" for k in range(7))}
+    UNION ALL SELECT it + 1, {", ".join(f"w{k} - 0.1::DOUBLE * avg((p - y) * x{k})" for k in range(7))} FROM (SELECT r.*, x.*, 1 / (1 + exp(-({_DOT}))) AS p FROM r, x WHERE it < {_STEPS}) GROUP BY it, {", ".join(f"w{k}" for k in range(7))})
+    SELECT c_custkey, round(1 / (1 + exp(-({_DOT}))), 9) AS propensity_score FROM x, r WHERE it = {_STEPS}""")
+def propensity_gradient_steps(spark, sf):
+    """One-hot and standardised features, a fixed number of gradient steps, and everybody's score."""
+    rows = cut(wide(spark, sf))
+    features = [*models.one_hot(rows, STUDY.categorical), *models.standardised(rows, STUDY.numeric)]
+    model = models.fit_logistic(rows, "reached", features, rounds=_STEPS, tolerance=0.0)
+    return rows.select("c_custkey", F.round(model.probability(), 9).alias("propensity_score"))
+
+
 def _fit_rows(spark: SparkSession, fit: models.Fit) -> DataFrame:
     rows = [] if fit.beta is None else [(n, float(b), float(s), float(b / s) if s else None) for n, b, s in zip(fit.names, fit.beta, fit.se)]
     return spark.createDataFrame(rows, "term string, beta double, se double, t double")
 
 
-@query()
+def _residual_sql(columns: int) -> str:
+    """Columns z0.. and y, from each of which the ones before are taken out, one after the other (Gram and Schmidt)."""
+    out, last = "", columns - 1
+    for i in range(last):
+        less = [f"{c} - z{i} * (sum({c} * z{i}) OVER () / sum(z{i} * z{i}) OVER ()) AS {c}" for c in (*(f"z{j}" for j in range(i + 1, columns)), "y")]
+        out += f", o{i + 1} AS (SELECT " + ", ".join(less) + f" FROM o{i})"
+    return out
+
+
+@query(_PAIRS + """, o0 AS (SELECT 1.0::DOUBLE AS z0, spend_PRE12M AS z1, open_PRE12M AS z2, (c_mktsegment = 'BUILDING')::DOUBLE AS z3, (c_mktsegment = 'FURNITURE')::DOUBLE AS z4, (c_mktsegment = 'HOUSEHOLD')::DOUBLE AS z5,
+    (c_mktsegment = 'MACHINERY')::DOUBLE AS z6, treatment::DOUBLE AS z7, spend_POST06M AS y FROM pr)""" + _residual_sql(8) + """,
+    h AS (SELECT sum(y * z7) / sum(z7 * z7) AS beta, sum(z7 * z7) AS zz, sum(y * y) - sum(y * z7) ** 2 / sum(z7 * z7) AS rss, count(*) AS n FROM o7),
+    i AS (SELECT avg(spend_POST06M) FILTER (treatment = 1) AS tm, avg(spend_POST06M) FILTER (treatment = 0) AS cm, stddev_samp(spend_POST06M) FILTER (treatment = 1) AS ts, stddev_samp(spend_POST06M) FILTER (treatment = 0) AS cs FROM pr)
+    SELECT n, round(beta, 3) AS beta, round(sqrt(rss / (n - 8) / zz), 3) AS se, round(beta / sqrt(rss / (n - 8) / zz), 5) AS t, round(tm, 3) AS test_mean, round(cm, 3) AS control_mean, round(ts, 3) AS test_sd, round(cs, 3) AS control_sd, round((tm - cm) / cm * 100, 5) AS lift_pct FROM h, i""")
 def ancova_ols(spark, sf):
+    """Effect of treatment on the outcome beside baseline, covariate and dummies, with group means and lift."""
     rows, matches, _ = matched(spark, sf)
-    pairs = cut(matching.pair_rows(STUDY, matches, rows))
-    return _fit_rows(spark, models.ancova(pairs, "spend_POST06M", "treatment", "spend_PRE12M", STUDY.covariates, STUDY.categorical))
+    fit = models.ancova(cut(matching.pair_rows(STUDY, matches, rows)), "spend_POST06M", "treatment", "spend_PRE12M", STUDY.covariates, STUDY.categorical)
+    beta, se, t = (float(v[1]) for v in (fit.beta, fit.se, fit.t))
+    s = fit.stats
+    row = (fit.n, round(beta, 3), round(se, 3), round(t, 5), round(s["test_mean"], 3), round(s["control_mean"], 3), round(s["test_sd"], 3), round(s["control_sd"], 3), round(s["lift_pct"], 5))
+    return spark.createDataFrame([row], "n long, beta double, se double, t double, test_mean double, control_mean double, test_sd double, control_sd double, lift_pct double")
 
 
 @query("SELECT 'intercept' AS term, round(regr_intercept(o_totalprice, x), 3) AS beta FROM (SELECT o_totalprice, month(o_orderdate)::DOUBLE AS x FROM orders) UNION ALL SELECT 'x', round(regr_slope(o_totalprice, x), 3) FROM (SELECT o_totalprice, month(o_orderdate)::DOUBLE AS x FROM orders)")
@@ -304,21 +342,72 @@ def least_squares_line(spark, sf):
     return _fit_rows(spark, models.least_squares(od, "o_totalprice", [("x", F.col("x"))])).select("term", F.round("beta", 3).alias("beta"))
 
 
-def _who(spark: SparkSession) -> DataFrame:
+def _who(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """As many made-up subjects as the table of customers has rows."""
     qualities = {"specialty": G.Distribution("categorical", weights={"CARD": 3, "ONC": 1, "GP": 6}), "state": G.Distribution("uniform_choice", weights=dict.fromkeys(("CA", "NY", "TX"), 1.0))}
-    return G.subjects(spark, 1000, qualities, {"rollup": ("specialty", {"CARD": "SPEC", "ONC": "SPEC"})})
+    n = table(spark, sf, "customer").count()
+    return G.subjects(spark, n, qualities, {"rollup": ("specialty", {"CARD": "SPEC", "ONC": "SPEC"})}), n
+
+
+_SPEC = G.MeasureSpec(G.Distribution("poisson", 4.0), G.Shape("seasonal", 0.2), "payer", {"com": 5, "med": 3, "cash": 2})
 
 
 @query()
 def synth_subjects(spark, sf):
-    return G.treat(_who(spark), Campaign(targets=400).validated())
+    who, n = _who(spark, sf)
+    return G.treat(who, Campaign(targets=n // 4).validated())
 
 
 @query()
 def synth_measurement(spark, sf):
-    spec = G.MeasureSpec(G.Distribution("poisson", 4.0), G.Shape("seasonal", 0.2), "payer", {"com": 5, "med": 3, "cash": 2})
-    return G.measurement(_who(spark), spec, 24)
+    return G.measurement(_who(spark, sf)[0], _SPEC, 24)
+
+
+@query("""SELECT count(*) AS subjects, count(*) // 4 AS targets, (count(*) // 4) // 2 AS reached, 0::BIGINT AS off_plan, 14::BIGINT AS first_month, 16::BIGINT AS last_month, true AS months_even, true AS large_ones_first, 0::BIGINT AS wrong_rollups FROM customer""")
+def synth_treatment_rules(spark, sf):
+    """What every draw of subjects and treatment must keep."""
+    who, n = _who(spark, sf)
+    rows = cut(G.treat(who, Campaign(targets=n // 4).validated()))
+    planned, reached = F.col("planned_reach_month"), F.col("reach_month")
+    off = reached.isNotNull() & (reached != planned) | (F.col("reached") != reached.isNotNull().cast("long"))
+    wrong = F.col("rollup") != F.when(F.col("specialty") == "GP", "GP").otherwise("SPEC")
+    by_month = [F.count_if(planned == m) for m in (14, 15, 16)]
+    return rows.agg(
+        F.count("*").alias("subjects"), F.count(planned).alias("targets"), F.count(reached).alias("reached"), F.count_if(off).alias("off_plan"), F.min(planned).alias("first_month"), F.max(planned).alias("last_month"),
+        (F.greatest(*by_month) - F.least(*by_month) <= 1).alias("months_even"), (F.avg(F.when(planned.isNotNull(), F.col("volume_scale"))) > F.avg(F.when(planned.isNull(), F.col("volume_scale")))).alias("large_ones_first"), F.count_if(wrong).alias("wrong_rollups"),
+    )
+
+
+@query("SELECT count(*) * 24 AS cells, 0::BIGINT AS wrong_sums, 0::BIGINT AS negative FROM customer")
+def synth_component_sums(spark, sf):
+    """The parts of a split add up to the rounded whole, for every subject and month."""
+    who, _ = _who(spark, sf)
+    whole = G.measurement(who, G.MeasureSpec(_SPEC.distribution, _SPEC.shape), 24)
+    parts = G.measurement(who, _SPEC, 24).groupBy("npi", "mth_cnt").agg(F.sum("value").alias("parts"), F.min("value").alias("least"))
+    both = whole.join(parts, ["npi", "mth_cnt"], "full")
+    return both.agg(F.count("*").alias("cells"), F.count_if(F.coalesce(F.round("value") != F.col("parts"), F.lit(True))).alias("wrong_sums"), F.count_if(F.col("least") < 0).alias("negative"))
+
+
+@query("SELECT m AS month_no, 1.0::DOUBLE AS constant, round(greatest(1 - 0.07::DOUBLE * m, 0), 9) AS linear, round(greatest(1 + 0.2::DOUBLE * sin(m * 2 * pi() / 12), 0), 9) AS seasonal FROM range(24) r(m)")
+def synth_shapes(spark, sf):
+    shapes = {"constant": G.Shape(), "linear": G.Shape("linear", -0.07), "seasonal": G.Shape("seasonal", 0.2)}
+    return spark.range(24).select(F.col("id").alias("month_no"), *[F.round(x.factor(F.col("id")), 9).alias(n) for n, x in shapes.items()])
+
+
+#: Distribution, mean, variance.
+_MOMENTS = (
+    (G.Distribution("constant", 3.0), 3.0, 0.0), (G.Distribution("uniform", 2.0, 4.0), 3.0, 1 / 3), (G.Distribution("normal", 1.0, 2.0), 1.0, 4.0), (G.Distribution("log_normal", 0.0, 0.5), 1.1331485, 0.3646958),
+    (G.Distribution("poisson", 4.0), 4.0, 4.0), (G.Distribution("poisson", 90.0), 90.0, 90.0), (G.Distribution("poisson", 2000.0), 2000.0, 2000.0), (G.Distribution("negative_binomial", 6.0, 3.0), 6.0, 18.0), (G.Distribution("negative_binomial", 2.0, 0.5), 2.0, 10.0), (G.Distribution("bernoulli", 0.3), 0.3, 0.21),
+)
 
 
-if overlap := set(QUERIES) & set(_OTHERS):
-    raise RuntimeError(f"two queries share a name: {overlap}")
+@query("SELECT k::INTEGER AS k, true AS mean_fits, true AS variance_fits FROM range(10) r(k)")
+def synth_moments(spark, sf):
+    """5,000 draws of each distribution have its mean and variance, within five standard errors or 25 %."""
+    n, ids = 5_000, spark.range(5_000)
+    drawn = ids.select(*[G.numeric(d, 5, ["id"]).cast("double").alias(f"d{k}") for k, (d, _, _) in enumerate(_MOMENTS)])
+    cells = []
+    for k, (_, mean, variance) in enumerate(_MOMENTS):
+        close = F.abs(F.avg(f"d{k}") - mean) <= 5 * (variance / n) ** 0.5 + 1e-9
+        cells.append(F.struct(F.lit(k).alias("k"), close.alias("mean_fits"), (F.abs(F.var_samp(f"d{k}") - variance) <= 0.25 * variance + 1e-9).alias("variance_fits")))
+    return drawn.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
