@@ -5,14 +5,17 @@ Customers with a key divisible by 5 count as reached, in month 61 + key modulo 3
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..causal import cohort, matching, models, reports
-from ..causal.config import Campaign, DecileGroups, Points, Study, VolumeGate, Window
+from ..causal.config import Autotune, Campaign, DecileGroups, Points, Study, VolumeGate, Window
 from ..functions import calendar as C
 from ..functions import windows as W
-from ..operators.materialize import cut
+from ..operators.materialize import cut, shared_dir
 from ..sources import generate as G
 from .timeseries import rounded, table
 
@@ -166,6 +169,34 @@ def match_counts_by_decile(spark, sf):
     return rounded(matching.match_counts(STUDY, tests, matches, sizes, "spend_L12M_decile"))
 
 
+def _share_sql(distance: int) -> str:
+    return f"""SELECT {distance} AS distance, round(count(*) FILTER (EXISTS (SELECT 1 FROM e c WHERE c.reached = 0 AND c.c_mktsegment = t.c_mktsegment AND abs(c.bucket - t.bucket) <= {distance})) / count(*), 6) AS matched_share FROM e t WHERE t.reached = 1"""
+
+
+@query(_POOLS + " SELECT * FROM (" + " UNION ALL ".join(_share_sql(d) for d in range(4)) + ") ORDER BY (matched_share >= 0.999) DESC, CASE WHEN matched_share >= 0.999 THEN distance ELSE -distance END LIMIT 1")
+def gates_autotuned(spark, sf):
+    """The volume gate is relaxed decile by decile, up to 3, until nearly every test has a candidate."""
+    rows = cut(wide(spark, sf))
+    strict = replace(STUDY, volume_gates=(VolumeGate("spend_L12M_decile", 0),), autotune=Autotune(0.999, (VolumeGate("spend_L12M_decile", 3),)))
+    tuned = matching.autotuned(strict, rows)
+    ok = matching.eligible(tuned, rows)
+    tests, controls = ok.where("reached = 1"), ok.where("reached = 0")
+    n, hit = tests.count(), matching.pool_sizes(tuned, tests, controls).count()
+    return spark.createDataFrame([(tuned.volume_gates[0].distance, round(hit / n, 6) if n else None)], "distance int, matched_share double")
+
+
+@query(_MATCH + """ SELECT 'matches' AS file, count(*) AS n_rows FROM b UNION ALL SELECT 'target_list', count(*) FROM s WHERE reach_month IS NOT NULL UNION ALL SELECT 'config', 1 UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'study.toml', 1""")
+def export_set(spark, sf):
+    """Tables, JSON and a copy of the configuration, all in one folder, read again."""
+    rows, matches, _ = matched(spark, sf)
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    listed = reports.target_list(subjects(spark, sf), "c_custkey", "reach_month", 1995, 1, ("c_mktsegment",))
+    reports.export(folder, {"matches": matches, "target_list": listed}, {"rows": 1}, {"measures": STUDY.measures}, [], {"study.toml": 'subject = "c_custkey"'})
+    counts = [(n, spark.read.csv(f"{folder}/{n}.csv", header=True).count()) for n in ("matches", "target_list")]
+    counts += [(n, spark.read.json(f"{folder}/{n}.json", multiLine=True).count()) for n in ("config", "summary")] + [("study.toml", spark.read.text(f"{folder}/study.toml").count())]
+    return spark.createDataFrame(counts, "file string, n_rows long")
+
+
 _PAIRS = _MATCH + ", o AS (SELECT test_c_custkey AS c_custkey, 1 AS treatment FROM b UNION ALL SELECT control_c_custkey, 0 FROM b), pr AS (SELECT o.treatment, w.* FROM o JOIN w USING (c_custkey))"
 _PLACEBO = "SELECT '{c}' AS measure, avg({c}) FILTER (treatment = 1) AS t, avg({c}) FILTER (treatment = 0) AS k FROM pr"
 

@@ -12,7 +12,7 @@ from ..diagnostics import Collector, drift, traced
 from ..errors import EngineError
 from ..functions import expr as X
 from ..functions.calendar import floor_to
-from ..model import Aggregate, Kind, Measurement, Quality, ReportInterval, Schema, SignalPolicy, SubjectFilter, SubsetRequest, SyntheticSubject, Temporality, TimeRange, Upsample, duration_ms
+from ..model import Aggregate, Downsample, Kind, Measurement, Quality, ReportInterval, Schema, SignalPolicy, SubjectFilter, SubsetRequest, SyntheticSubject, Temporality, TimeRange, Upsample, duration_ms
 from ..operators import align as A
 from ..operators import relational as R
 from ..operators.materialize import shared_dir
@@ -104,6 +104,24 @@ def aligned_to_the_fastest(spark, sf):
     return two_rates(spark, sf, Upsample.FORWARD_FILL)
 
 
+@query("""WITH a AS (SELECT l_suppkey, time_bucket(INTERVAL 7 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS t, avg(l_quantity) AS q, sum(l_discount) AS d FROM lineitem GROUP BY 1, 2),
+          b AS (SELECT l_suppkey, time_bucket(INTERVAL 14 DAY, t, TIMESTAMP '1970-01-01') AS t, max(q) AS q, avg(q) AS m FROM a GROUP BY 1, 2),
+          x AS (SELECT l_suppkey, time_bucket(INTERVAL 14 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS t, avg(l_tax) AS x FROM lineitem GROUP BY 1, 2),
+          e AS (SELECT l_suppkey, time_bucket(INTERVAL 14 DAY, t, TIMESTAMP '1970-01-01') AS t, avg(p) AS p FROM (SELECT l_suppkey, time_bucket(INTERVAL 7 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS t, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2),
+          g AS (SELECT unnest(generate_series(time_bucket(INTERVAL 14 DAY, min(l_shipdate), TIMESTAMP '1970-01-01'), max(l_shipdate), INTERVAL 14 DAY)) AS t FROM lineitem)
+          SELECT u.l_suppkey AS l_suppkey, g.t AS l_shipdate, round(b.q, 6) AS l_quantity, round(e.p, 6) AS l_extendedprice, round(x.x, 6) AS l_tax FROM (SELECT DISTINCT l_suppkey FROM lineitem) u CROSS JOIN g
+          LEFT JOIN b ON b.l_suppkey = u.l_suppkey AND b.t = g.t LEFT JOIN e ON e.l_suppkey = u.l_suppkey AND e.t = g.t LEFT JOIN x ON x.l_suppkey = u.l_suppkey AND x.t = g.t""")
+def aligned_wide_columns(spark, sf):
+    """Two weekly columns of one source go down together, each by its own strategy, to the third one's fortnights."""
+    ms = (
+        Measurement("l_quantity", policy=SignalPolicy.instant("7d"), sample_rate_ms=7 * DAY, downsample=Downsample.MAX), Measurement("l_extendedprice", policy=SignalPolicy.instant("7d"), sample_rate_ms=7 * DAY),
+        Measurement("l_tax", policy=SignalPolicy.instant("14d"), sample_rate_ms=14 * DAY),
+    )
+    schema = Schema("parts", "l_suppkey", "l_shipdate", ms).validated()
+    u = Universe.build(schema, [B.BoundSource.identity("lineitem", table(spark, sf, "lineitem"), schema)], now=NOW).ensure_aligned()
+    return rounded(u.subset(SubsetRequest(("l_quantity", "l_extendedprice", "l_tax"))).df)
+
+
 @query("""WITH p AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS t, avg(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-20'),
           v AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS t, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2 HAVING t >= TIMESTAMP '2024-01-10' AND t <= TIMESTAMP '2024-01-20'),
           u AS (SELECT user_id FROM p UNION SELECT user_id FROM v),
