@@ -91,7 +91,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
     so ties are settled. Null roles and texts count as empty, a null kind as message; a null conv_id is one
     conversation. Extra columns are ignored; an empty log gives no rows.
     """
-    bound_batches(events.sparkSession, 2000)
+    bound_batches(events.sparkSession)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     log = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
     log = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "role", "text", "kind").select("conv_id", "kind", "turn", "role", "text")

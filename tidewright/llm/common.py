@@ -17,10 +17,17 @@ WHITE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the memory of an Arrow batch, for tables that hold some very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Rows and bytes of an Arrow batch, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the memory of an Arrow batch, for tables that hold some very long texts.
+
+    A session's setting, the same for every operator, so lazy frames may run in any order.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def utf8(name: str = "text"):

@@ -120,7 +120,7 @@ def drop_positions(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     (``keep_first``) all but the first one by document key and position.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 2000)
+    bound_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(doc_key(id_col, text_col).alias("doc"), utf8(text_col).alias("text")).where(F.length("text") > 0)
     records = cut(keyed.mapInArrow(_records(min_chars), "line binary, doc binary, positions binary"))
