@@ -52,3 +52,8 @@ def drift(before: int, after: int, collector: Collector, name: str) -> None:
         collector.issue("error", name, f"{before} rows became {after}")
     elif abs(ratio - 1) > 0.1:
         collector.issue("warning", name, f"{before} rows became {after}")
+
+
+def drift_of(before: DataFrame, after: DataFrame, collector: Collector, name: str) -> None:
+    """``drift`` of two frames' rows; counts both, so it is for checks and not for a query's way."""
+    drift(before.count(), after.count(), collector, name)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..diagnostics import Collector, drift, traced
+from ..diagnostics import Collector, drift, drift_of, traced
 from ..errors import EngineError
 from ..functions import expr as X
 from ..functions.calendar import floor_to
@@ -479,6 +479,15 @@ def drift_checks(spark, sf):
     return spark.createDataFrame(out, "stage string, level string, ok_so_far boolean")
 
 
+@query("""SELECT 'purchases' AS stage, CASE WHEN b / a > 2 OR b / a < 0.5 THEN 'error' WHEN abs(b / a - 1) > 0.1 THEN 'warning' END AS level FROM (SELECT count(*) AS a, count(*) FILTER (event_type = 'purchase') AS b FROM events)
+          UNION ALL SELECT 'without errors', CASE WHEN b / a > 2 OR b / a < 0.5 THEN 'error' WHEN abs(b / a - 1) > 0.1 THEN 'warning' END FROM (SELECT count(*) AS a, count(*) FILTER (event_type <> 'error') AS b FROM events)""")
+def drift_of_frames(spark, sf):
+    seen, ev = Collector(), table(spark, sf, "events")
+    for name, kept in (("purchases", "event_type = 'purchase'"), ("without errors", "event_type <> 'error'")):
+        drift_of(ev, ev.where(kept), seen, name)
+    return spark.createDataFrame([(name, level) for level, name, _ in seen.issues], "stage string, level string")
+
+
 @query(grid_sql("6 HOUR", 2) + """, r AS (SELECT user_id, date_trunc('month', t) AS m, count(v) AS n, count(*) FILTER (v IS NULL) AS gone FROM d GROUP BY 1, 2)
     SELECT 'grid' AS what, count(*) AS n_rows, count(DISTINCT user_id) AS subjects, count(DISTINCT t) AS times, 0::BIGINT AS contributing, 0::BIGINT AS missing FROM d
     UNION ALL SELECT 'report', count(*), count(DISTINCT user_id), count(DISTINCT m), sum(n)::BIGINT, sum(gone)::BIGINT FROM r""")
