@@ -40,3 +40,15 @@ def test_conversations(spark):
     digest = {r["conv_id"]: r for r in _digests(chat.format_conversations(events)).collect()}
     assert digest[8]["loss_chars"] == 5 and digest[8]["loss_sha256"] == hashlib.sha256("</s>é".encode()).hexdigest()
     assert chat.format_conversations(events.limit(0)).count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    """Many events of one conversation: deltas, an edit of an early turn, and a regeneration near the end."""
+    rows = [(1, 2 * k, "message", k, "user" if k % 2 == 0 else "assistant", f"text {k} " * 20) for k in range(4000)]
+    rows += [(1, 8001 + k, "delta", 3999, "assistant", f"piece {k} ") for k in range(3000)]
+    rows += [(1, 20_000, "edit", 7, "assistant", "edited"), (1, 20_001, "regenerate", 3997, "assistant", None), (1, 20_002, "delta", 3997, "assistant", "again"), (2, 0, "message", 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string").repartition(5)
+    got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
+    turns = chat.parse(got[1]["formatted"])
+    assert len(turns) == got[1]["n_turns"] == 3998 and turns[7] == ("assistant", "edited") and turns[-1] == ("assistant", "again") and turns[0][1] == "text 0 " * 20
+    assert len(got[1]["loss_spans"]) == 1999 and chat.parse(got[2]["formatted"]) == [("user", "")]

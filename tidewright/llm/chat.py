@@ -36,17 +36,22 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1], text)
 
 
-def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
-    """Final (role, text) turns from events (kind, turn, role, text) in order.
+class Conversation:
+    """The state of a conversation: its turns so far, from events in order. What an event replaces is held no longer.
 
     message: a turn with this text, behind all others if its number is null or new, else in place of the old.
     delta: text put behind the turn's; a new turn if there is none. edit: the turn's text becomes this.
     regenerate: the turn's text is emptied, and every later turn goes; deltas that follow fill it again.
     Edits and regenerations of turns that don't exist have no effect.
     """
-    turns: dict = {}
-    for k, (kind, turn, role, text) in enumerate(events):
-        key = ("new", k) if turn is None else turn
+
+    def __init__(self):
+        self.turns: dict = {}
+        self.events = 0
+
+    def feed(self, kind: str, turn: int | None, role: str, text: str) -> None:
+        key, turns = ("new", self.events) if turn is None else turn, self.turns
+        self.events += 1
         if kind == "message" or (kind == "delta" and key not in turns):
             turns[key] = [role, [text]]
         elif kind == "delta":
@@ -60,7 +65,18 @@ def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
                 del turns[later]
         elif kind not in ("edit", "regenerate"):
             raise ValueError(f"unknown kind of event: {kind}")
-    return [(role, "".join(parts)) for role, parts in turns.values()]
+
+    def final(self) -> list[tuple[str, str]]:
+        """(role, text) of each turn."""
+        return [(role, "".join(parts)) for role, parts in self.turns.values()]
+
+
+def fold(events: Iterator[tuple]) -> list[tuple[str, str]]:
+    """Final (role, text) turns from events (kind, turn, role, text) in order."""
+    state = Conversation()
+    for event in events:
+        state.feed(*event)
+    return state.final()
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -99,10 +115,10 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
     def run(batches):
         done: list[tuple] = []
-        current, held, begun = None, [], False
+        current, state = None, None
 
         def close():
-            turns = fold(held)
+            turns = state.final()
             text, spans = render(turns)
             done.append((current, len(turns), text, [list(s) for s in spans]))
 
@@ -113,14 +129,14 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, *event in zip(*(c.to_pylist() for c in batch.columns)):
-                if begun and conv != current:
-                    close()
-                    held = []
-                current, begun = conv, True
-                held.append(tuple(event))
+                if state is None or conv != current:
+                    if state is not None:
+                        close()
+                    current, state = conv, Conversation()
+                state.feed(*event)
             if done:
                 yield emit()
-        if begun:
+        if state is not None:
             close()
             yield emit()
 
