@@ -307,16 +307,7 @@ def lift_ramp(spark, sf):
     return lifted.select("o_orderkey", F.round("value", 4).alias("value"))
 
 
-@query()
-def propensity_fit_scores(spark, sf):
-    rows = cut(wide(spark, sf))
-    features = [*models.one_hot(rows, STUDY.categorical), *models.standardised(rows, STUDY.numeric)]
-    model = models.fit_logistic(rows, "reached", features)
-    scored = rows.select("c_custkey", "reached", model.probability().alias("propensity_score"))
-    return models.attach_bins(scored, "propensity_score", "c_custkey", "propensity_decile")
-
-
-_STEPS, _X = 20, [*(f"x{k}" for k in range(7))]
+_STEPS = 20
 _DOT = " + ".join(f"w{k} * x{k}" for k in range(7))
 
 
@@ -338,6 +329,24 @@ def propensity_gradient_steps(spark, sf):
     return rows.select("c_custkey", F.round(model.probability(), 9).alias("propensity_score"))
 
 
+_LOSS = "-avg(y * ln(greatest(least(p, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-15::DOUBLE), 1e-15::DOUBLE)))"
+
+
+@query(_W.replace("WITH", "WITH RECURSIVE", 1) + f""", {_FEATURES}, r AS (SELECT 0 AS it, {", ".join(f"0.0::DOUBLE AS w{k}" for k in range(7))}, NULL::DOUBLE AS cost, false AS done
+    UNION ALL SELECT it + 1, {", ".join(f"w{k} - 0.1::DOUBLE * avg((p - y) * x{k})" for k in range(7))}, {_LOSS}, coalesce(abs(cost - ({_LOSS})) < 1e-6::DOUBLE, false)
+    FROM (SELECT r.*, x.*, 1 / (1 + exp(-({_DOT}))) AS p FROM r, x WHERE it < 200 AND NOT done) GROUP BY it, cost, {", ".join(f"w{k}" for k in range(7))}),
+    z AS (SELECT c_custkey, y::INTEGER AS reached, 1 / (1 + exp(-({_DOT}))) AS score FROM x, (SELECT * FROM r ORDER BY it DESC LIMIT 1))
+    SELECT c_custkey, reached, round(score, 9) AS propensity_score, (floor((row_number() OVER (ORDER BY score, c_custkey) - 1) / count(*) OVER () * 10) + 1)::BIGINT AS propensity_decile FROM z""")
+def propensity_fit_scores(spark, sf):
+    """Fitted until the cost rests, and the scores' bins of equal count."""
+    rows = cut(wide(spark, sf))
+    features = [*models.one_hot(rows, STUDY.categorical), *models.standardised(rows, STUDY.numeric)]
+    model = models.fit_logistic(rows, "reached", features)
+    scored = rows.select("c_custkey", "reached", model.probability().alias("propensity_score"))
+    binned = models.attach_bins(scored, "propensity_score", "c_custkey", "propensity_decile")
+    return binned.withColumn("propensity_score", F.round("propensity_score", 9))
+
+
 def _fit_rows(spark: SparkSession, fit: models.Fit) -> DataFrame:
     rows = [] if fit.beta is None else [(n, float(b), float(s), float(b / s) if s else None) for n, b, s in zip(fit.names, fit.beta, fit.se)]
     return spark.createDataFrame(rows, "term string, beta double, se double, t double")
