@@ -37,8 +37,9 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word Jaccard similarity 0.8), the row with the smallest id stays (null ids last).
+    """Of each component of near copies, the row with the smallest id stays (null ids last).
 
+    Near copies are found by their SimHashes and verified: five-word Jaccard similarity 0.8 or more.
     Texts without words, null ones included, are copies of each other. Rows that repeat id and text count once.
     """
     keyed = docs.select(*_plain(docs), line_dedup.doc_key().alias("__key"))

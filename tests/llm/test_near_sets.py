@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,49 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
     kept = pipeline.stage_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(texts)[1]))
+
+
+def plain_simhash(text):
+    """The first bits of the SimHash, shingle by shingle."""
+    found, bits, mask = near_sets.shingles(text.encode()).tolist(), [], (1 << 64) - 1
+    for flip, odd, mix in list(zip(*(x.tolist() for x in (near_sets._MASKS, near_sets._ODD, near_sets._MIX))))[: near_sets.PRINT]:
+        ones = [0] * 64
+        for h in found:
+            h = (h ^ flip) * odd & mask
+            h = (h ^ h >> 32) * mix & mask
+            h ^= h >> 29
+            ones = [n + (h >> b & 1) for b, n in enumerate(ones)]
+        bits += [2 * n > len(found) for n in ones]
+    return bits
+
+
+@pytest.mark.parametrize("words", [1, 4, 5, 19, 64, 245, 1000])
+def test_simhash_matches_plain_counts(words):
+    text = " ".join(f"w{k}" for k in range(words))
+    kept, simhash = near_sets.sketch(near_sets.shingles(text.encode()))
+    assert [bool(x >> b & 1) for x in simhash for b in range(64)] == plain_simhash(text)
+    keys = near_sets.keys_of(kept).tolist()
+    assert len(set(keys)) == len(keys) == 4 * near_sets.SEGMENTS
+
+
+def test_stage_links_by_simhash(spark, monkeypatch):
+    """Without a radius no two different fingerprints link; copies of one set of shingles stay copies."""
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[:-1], x]), "en", "s", 1) for k, x in enumerate(("a", "b", "c", "A"))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert [r["doc_id"] for r in pipeline.stage_near_dedup(spark, docs, "").collect()] == [0]
+    monkeypatch.setattr(near_sets, "RADIUS", -1)
+    assert sorted(r["doc_id"] for r in pipeline.stage_near_dedup(spark, docs, "").collect()) == [0, 1, 2]
+
+
+def test_keys_find_random_pairs_at_the_threshold():
+    """At a similarity of 0.8 exactly, the least that links; for sets of 10 and 1000 shingles."""
+    rng = np.random.default_rng(7)
+    for common, own, runs in ((8, 1, 500), (800, 100, 100)):
+        found = 0
+        for _ in range(runs):
+            x = rng.integers(0, 1 << 64, size=common + 2 * own, dtype=np.uint64)
+            (a, p), (b, q) = near_sets.sketch(x[: common + own]), near_sets.sketch(np.delete(x, slice(common, common + own)))
+            differ = sum(((u ^ v) & ((1 << 64) - 1)).bit_count() for u, v in zip(p, q))
+            found += bool(np.intersect1d(near_sets.keys_of(a), near_sets.keys_of(b)).size) and differ <= near_sets.RADIUS
+        assert found >= 0.99 * runs
