@@ -133,6 +133,31 @@ def test_matches_equal_all_pairs(spark, seed):
     assert matching.match_controls(study, df.limit(0))[0].count() == 0
 
 
+def _most_rows(df):
+    """Rows out of the largest step of a plan that has run."""
+    def walk(node):
+        metric = node.metrics().get("numOutputRows")
+        children = node.children()
+        return max([metric.get().value() if metric.isDefined() else 0, *[walk(children.apply(i)) for i in range(children.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_tied_controls_are_looked_up_not_paired(spark, monkeypatch):
+    study = Study("id", "m", ("a", "b"), gates=("g",), points=(Points("a", 1), Points("b", 1)))
+    tests, controls = (spark.range(start, start + 400).select("id", F.lit("x").alias("g"), (F.col("id") * 7.25).alias("a"), F.lit(0.0).alias("b")) for start in (0, 1000))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        best = matching.best_matches(study, tests, controls)
+        got = {tuple(r) for r in best.collect()}
+        assert _most_rows(best) < 400 * 20
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {(k, 1000, 2.0) for k in range(400)}  # the nearest in both columns is the first control for every test
+    monkeypatch.setattr(matching, "SETS", 1)
+    assert {tuple(r) for r in matching.best_matches(study, tests, controls).collect()} == got
+
+
 def test_gates_are_relaxed_until_enough_match(spark):
     df = spark.createDataFrame([(k, int(k < 10), "x", k % 10 if k < 10 else 0) for k in range(20)], "id int, reached int, seg string, a_decile int")
     tuned = lambda target, most: matching.autotuned(Study(subject="id", gates=("seg",), volume_gates=(VolumeGate("a_decile", 0),), autotune=Autotune(target, (VolumeGate("a_decile", most),))), df).volume_gates[0].distance

@@ -78,13 +78,48 @@ def _neighbours(rows: DataFrame, within: list[str]) -> DataFrame:
     return found.join(edges, ["part", *within]).select(*within, "v", "test", F.coalesce("p", "below").alias("pred"), F.coalesce("s", "above").alias("succ"))
 
 
+#: Scored columns up to which controls are looked up by sets of columns: each control makes 2^k - 1 rows for that. With
+#: more columns each control at the smallest distance makes a row for its test.
+SETS = 6
+
+
+def _by_sets(study: Study, keys: list[str], nearest: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(test, control, points): for each set of scored columns, the smallest control of a cell that is nearest in all of them.
+
+    ``nearest`` has the nearest control values ``cv`` by test, cell and column ``k``. A control in the set that is nearest
+    in other columns too comes up again by a larger set, so the most points of a test are exact, and the smallest id with it.
+    """
+    n = len(study.points)
+    sets = [[k for k in range(n) if mask >> k & 1] for mask in range(1, 1 << n)]
+    points = [sum(float(study.points[k].points) for k in members) for members in sets]
+    at = [f"__v{k}" for k in range(n)]
+
+    def row(which: int, chosen: dict[int, Column]) -> Column:
+        return F.struct(F.lit(which).alias("__s"), *[chosen.get(k, F.lit(0.0)).alias(at[k]) for k in range(n)])
+
+    def tries(which: int, rest: list[int], chosen: dict[int, Column]) -> Column:
+        """Rows for all ways to take one nearest value of each column of a set; none if a column has no value."""
+        if len(rest) == 1:
+            return F.transform(f"__n{rest[0]}", lambda x: row(which, chosen | {rest[0]: x}))
+        return F.flatten(F.transform(f"__n{rest[0]}", lambda x: tries(which, rest[1:], chosen | {rest[0]: x})))
+
+    every = nearest.groupBy("test", *keys).agg(*[F.collect_set(F.when(F.col("k") == k, F.col("cv"))).alias(f"__n{k}") for k in range(n)])
+    asked = every.select("test", *keys, F.explode(F.concat(*[tries(i, members, {}) for i, members in enumerate(sets)])).alias("x")).select("test", *keys, "x.*")
+    known = [F.col("vs")[k]["v"].isNotNull() & ~F.isnan(F.col("vs")[k]["v"]) for k in range(n)]
+    rows = [F.when(reduce(lambda a, b: a & b, [known[k] for k in members]), row(i, {k: F.col("vs")[k]["v"] for k in members})) for i, members in enumerate(sets)]
+    having = vectors.select(*keys, "control", F.explode(F.array_compact(F.array(*rows))).alias("x")).select(*keys, "control", "x.*")
+    having = having.groupBy(*keys, "__s", *at).agg(F.min("control").alias("control"))
+    worth = F.element_at(F.array(*[F.lit(p) for p in points]), F.col("__s") + 1)
+    return asked.join(having, [*keys, "__s", *at]).select("test", "control", worth.alias("points"))
+
+
 def best_matches(study: Study, tests: DataFrame, controls: DataFrame, propensity: str = "propensity_decile") -> DataFrame:
     """``(test, control, points)``: for each test the control with most points, the smallest id on ties.
 
     For each scored column, the nearest control or controls (within 1e-9) of the test's pool earn its points. No pairs
-    are formed to find them: a test's values are placed among the control values of its cells, which gives those next
-    to it; only controls at the smallest distance are looked up. Controls of a cell with the same scored values count
-    as one, the smallest id. A test whose pool earns no points takes the smallest id.
+    are formed: a test's values are placed among the control values of its cells, which gives those next to it, and the
+    values at the smallest distance are looked up together with the smallest id of the controls that have them, so any
+    number of tied controls is one row. A test whose pool earns no points takes the smallest id.
     """
     test, control = f"test_{study.subject}", f"control_{study.subject}"
     if any(p.points < 0 for p in study.points):
@@ -100,9 +135,10 @@ def best_matches(study: Study, tests: DataFrame, controls: DataFrame, propensity
         left = cut(left)
         vectors = cut(right.groupBy(*keys, "vs").agg(F.min("control").alias("control")))
         held = long(vectors, ["control"])
+        distinct = held.select(*within, "v").distinct()
         marks = long(left, ["test"])
         kind = marks.schema["test"].dataType
-        placed = _neighbours(marks.select(*within, "v", "test").unionByName(held.select(*within, "v").distinct().withColumn("test", F.lit(None).cast(kind))), within)
+        placed = _neighbours(marks.select(*within, "v", "test").unionByName(distinct.withColumn("test", F.lit(None).cast(kind))), within)
         # least() skips nulls: a test with controls on one side only has that distance.
         gap = F.least(F.abs(F.col("v") - F.col("pred")), F.abs(F.col("succ") - F.col("v")))
         placed = cut(placed.withColumn("gap", gap).where(F.col("gap").isNotNull()))
@@ -110,13 +146,15 @@ def best_matches(study: Study, tests: DataFrame, controls: DataFrame, propensity
         near = placed.join(least, ["test", "k"]).where(F.col("gap") <= F.col("least") + TIE)
         edges = [F.floor((F.col("v") + sign * F.col("least") + shift) / GRID).cast("long") for sign in (-1, 1) for shift in (-TIE, TIE)]
         wanted = near.select(*within, "test", "v", "least", F.explode(F.array_distinct(F.array(*edges))).alias("cell"))
-        by_cell = held.select(*within, F.col("v").alias("cv"), "control", F.floor(F.col("v") / GRID).cast("long").alias("cell"))
         hit = F.abs(F.abs(F.col("v") - F.col("cv")) - F.col("least")) <= TIE
-        won = wanted.join(by_cell, [*within, "cell"]).where(hit)
-        worth = F.element_at(F.array(*[F.lit(float(p.points)) for p in study.points]), F.col("k") + 1)
-        scored = scored.unionByName(won.select("test", "control", worth.alias("points")))
-    total = scored.groupBy("test", "control").agg(F.sum("points").alias("points"))
-    best = total.groupBy("test").agg(F.min(F.struct((-F.col("points")).alias("loss"), F.col("control"))).alias("b"))
+        nearest = lambda df, who: wanted.join(df.select(*within, F.col("v").alias("cv"), *who, F.floor(F.col("v") / GRID).cast("long").alias("cell")), [*within, "cell"]).where(hit)
+        if len(study.points) <= SETS:
+            scored = scored.unionByName(_by_sets(study, keys, nearest(distinct, []), vectors))
+        else:
+            worth = F.element_at(F.array(*[F.lit(float(p.points)) for p in study.points]), F.col("k") + 1)
+            pairs = nearest(held, ["control"]).groupBy("test", "control").agg(F.sum(worth).alias("points"))
+            scored = scored.unionByName(pairs)
+    best = scored.groupBy("test").agg(F.min(F.struct((-F.col("points")).alias("loss"), F.col("control"))).alias("b"))
     return best.select(F.col("test").alias(test), F.col("b.control").alias(control), (-F.col("b.loss")).alias("points"))
 
 
