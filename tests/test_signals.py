@@ -215,3 +215,11 @@ def test_hints_expand_and_description(spark, tmp_path):
     schema = Schema("q", "s", "t", (), (Quality("c"),)).validated()
     Universe.build(schema, [BoundSource.identity("q", data, schema)], now=NOW).write_qualities(str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "q")).count() == 1
+
+
+def test_a_grid_is_exploded_in_many_tasks(spark):
+    """Keys that lie in one small partition don't leave the whole grid to one task."""
+    spans = spark.range(40).select(F.col("id").alias("k"), F.timestamp_micros(F.lit(0)).alias("low"), F.timestamp_micros(F.lit(99_000_000)).alias("high")).coalesce(1)
+    out = A.explode_cells(spans, "low", "high", 1000, "t").withColumn("part", F.spark_partition_id())
+    counts = out.groupBy("part").count().collect()
+    assert sum(r["count"] for r in counts) == 4000 and len(counts) > 1
