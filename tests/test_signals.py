@@ -1,5 +1,6 @@
 """Grids, TTLs and fills on golden vectors, and the operators around them."""
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.errors import BindingError, RequestError
 from tidewright.functions.expr import concat_key, java_pattern, truth
-from tidewright.model import Kind, Measurement, Quality, ReportInterval, Schema, SignalPolicy, SubjectFilter, SubsetRequest, SyntheticSubject, TimeRange, TruthMapping
+from tidewright.model import Derivation, Kind, Measurement, OverSubjects, Quality, ReportInterval, Schema, SignalPolicy, SubjectFilter, SubsetRequest, SyntheticSubject, TimeRange, TruthMapping
 from tidewright.operators import align as A
 from tidewright.operators import relational as R
 from tidewright.plans.universe import Universe
@@ -223,3 +224,20 @@ def test_a_grid_is_exploded_in_many_tasks(spark):
     out = A.explode_cells(spans, "low", "high", 1000, "t").withColumn("part", F.spark_partition_id())
     counts = out.groupBy("part").count().collect()
     assert sum(r["count"] for r in counts) == 4000 and len(counts) > 1
+
+
+@pytest.mark.parametrize("op", ["rank", "quantile"])
+def test_ranks_of_means_do_not_depend_on_the_split_of_rows(spark, op):
+    """Many means are equal but for the last bit: a cell's values are added up in the order of their times."""
+    values = {u: [((u * 7 + k * 13) % 10 + 1) / 10 for k in range(4)] for u in range(60)}
+    rows = [(u, START + timedelta(minutes=k), v) for u, vs in values.items() for k, v in enumerate(vs)]
+    schema = Schema("s", "user", "at", (Measurement("value", policy=SignalPolicy.instant("1h"), sample_rate_ms=3_600_000),), (), (Derivation("out", OverSubjects(op, "value", 4)),)).validated()
+    df = spark.createDataFrame(rows, "user int, at timestamp_ntz, value double").repartition(7, F.xxhash64("user", "at"))
+    got = {r["user"]: r["out"] for r in Universe.build(schema, [BoundSource.identity("s", df, schema)], now=NOW).subset(SubsetRequest(("out",), interval_ms=3_600_000)).df.collect()}
+    means = {u: (((vs[0] + vs[1]) + vs[2]) + vs[3]) / 4 for u, vs in values.items()}
+    assert len(set(means.values())) > len({round(m, 9) for m in means.values()})
+    if op == "rank":
+        assert got == {u: i + 1 for i, u in enumerate(sorted(means, key=lambda u: (-means[u], u)))}
+    else:
+        low, same = (lambda m: sum(x < m for x in means.values())), (lambda m: sum(x == m for x in means.values()))
+        assert got == {u: math.ceil((low(m) + 1 + (same(m) - 1) / 2) / 60 * 4) for u, m in means.items()}
