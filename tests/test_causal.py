@@ -75,6 +75,21 @@ def test_draws_have_their_moments(spark):
     assert abs(shares - 0.75) < 0.03
 
 
+def test_components_are_split_within_their_row(spark):
+    """The parts add up to the rounded whole, and no row is shuffled to count them."""
+    who = G.subjects(spark, 50, {})
+    spec = G.MeasureSpec(G.Distribution("poisson", 20.0), component="c", levels={"a": 1, "b": 2})
+    parts = G.measurement(who, spec, 6)
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    whole = {(r[0], r[1]): r[2] for r in G.measurement(who, G.MeasureSpec(spec.distribution), 6).collect()}
+    rows = parts.collect()
+    assert len({(r.npi, r.mth_cnt, r.c) for r in rows}) == len(rows)
+    sums = {}
+    for r in rows:
+        sums[r.npi, r.mth_cnt] = sums.get((r.npi, r.mth_cnt), 0) + r.value
+    assert set(sums) == set(whole) and all(abs(sums[k] - v) <= 0.5 for k, v in whole.items())
+
+
 def test_the_study_recovers_a_lift(spark, tmp_path):
     campaign = Campaign(targets=300, reach_share=0.6).validated()
     qualities = {"specialty": G.Distribution("categorical", weights={"CARD": 1, "GP": 2})}
